@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import line_dedup, minhash, substring_dedup
+from tidemark.llm import line_dedup, minhash, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return line_dedup.line_dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
@@ -26,7 +30,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op5_line_dedup, op9_substring_dedup, op10_minhash_near_dedup]
+    found = [op1_suffix_array_dedup, op5_line_dedup, op9_substring_dedup, op10_minhash_near_dedup]
     return {f.__name__: f for f in found}
 
 

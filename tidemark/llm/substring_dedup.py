@@ -25,7 +25,7 @@ _on = np.zeros(PERIOD, bool)
 _on[list(COVER)] = True
 
 
-def _split(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def split_words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     data, offsets = text_bytes(batch.column("t"))
     for lo, hi in pieces(offsets):
         at = offsets[lo : hi + 1] - offsets[lo]
@@ -34,7 +34,7 @@ def _split(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.nda
         yield lo, hi, part, at, start, end, first
 
 
-def _inside(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def inside(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, position) of the windows of ``size`` words that lie in one row; position -1 where one doesn't."""
     n = max(0, int(first[-1]) - size + 1)
     row = np.searchsorted(first, np.arange(n), "right") - 1
@@ -45,8 +45,8 @@ def _inside(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key = batch.column("k").to_numpy()
-        for lo, _, part, _, start, end, first in _split(batch):
-            row, pos = _inside(first, WINDOW)
+        for lo, _, part, _, start, end, first in split_words(batch):
+            row, pos = inside(first, WINDOW)
             at = np.flatnonzero((pos >= 0) & _on[pos % PERIOD])
             at = at[np.diff(first)[row[at]] >= MIN_WORDS]
             h = window_hashes(word_hashes(part, start, end), WINDOW)
@@ -55,7 +55,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _adjacent(batches: Iterator[pa.RecordBatch], key: str, who: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def adjacent(batches: Iterator[pa.RecordBatch], key: str, who: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """For rows sorted by ``key`` and ``who``: (rows, is there another of the key beside it, is it the key's first)."""
     last, before = None, None
     for batch in batches:
@@ -81,8 +81,8 @@ def _adjacent(batches: Iterator[pa.RecordBatch], key: str, who: tuple[str, ...])
         yield last, np.array([before[0]]), np.array([before[1]])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, hit, _ in _adjacent(batches, "h", ("k", "pos")):
+def shared_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, hit, _ in adjacent(batches, "h", ("k", "pos")):
         yield rows.filter(pa.array(hit)).select(["k", "pos"])
 
 
@@ -95,7 +95,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, key, at = batch.column("id").to_numpy(), batch.column("k").to_numpy(), batch.column("at")
         new = np.concatenate([[before is None or key[0] != before], key[1:] != key[:-1]])
         before = key[-1]
-        for lo, hi, part, _, start, end, first in _split(batch):
+        for lo, hi, part, _, start, end, first in split_words(batch):
             some, total = at.slice(lo, hi - lo), np.diff(first)
             row = np.repeat(np.arange(hi - lo), np.diff(some.offsets.to_numpy()))
             p = some.flatten().to_numpy()
@@ -103,7 +103,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = p + first[row]
             n = int(first[-1])
             mark = np.bincount(np.maximum(p - PERIOD + 1, first[row]), minlength=n + 1) - np.bincount(p + 1, minlength=n + 1)[: n + 1]
-            wrow, pos = _inside(first, MIN_WORDS)
+            wrow, pos = inside(first, MIN_WORDS)
             s = np.flatnonzero((np.cumsum(mark)[: len(pos)] > 0) & (pos >= 0))
             h = window_hashes(word_hashes(part, start, end), MIN_WORDS)[s]
             long = np.flatnonzero(total >= MIN_WORDS)
@@ -119,11 +119,11 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, hit, first in _adjacent(batches, "h", ("id", "pos")):
+    for rows, hit, first in adjacent(batches, "h", ("id", "pos")):
         yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("pos"), rows.column("n"), pa.array(first)], ["id", "pos", "n", "keep"]).filter(pa.array(hit))
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def spans_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unions of overlapping runs of rows that are sorted by id, keep and position."""
     open_ = None  # id, keep, start, end
     for batch in batches:
@@ -162,12 +162,12 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("k"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
     anchors = rows.select("k", "t").mapInArrow(_anchors, "h long, k long, pos int")
-    shared = anchors.repartition("h").sortWithinPartitions("h", "k", "pos").mapInArrow(_shared, "k long, pos int")
+    shared = anchors.repartition("h").sortWithinPartitions("h", "k", "pos").mapInArrow(shared_places, "k long, pos int")
     around = shared.groupBy("k").agg(F.collect_set("pos").alias("at"))
     found = (
         rows.join(around, "k", "left").select("k", "id", "t", F.coalesce("at", F.array().cast("array<int>")).alias("at"))
         .sortWithinPartitions("k", "id").mapInArrow(_windows, "h long, id long, pos int, n int")
     )
     again = found.repartition("h").sortWithinPartitions("h", "id", "pos").mapInArrow(_repeated, "id long, pos int, n int, keep boolean")
-    spans = again.repartition("id").sortWithinPartitions("id", "keep", "pos").mapInArrow(_spans, "id long, start_word int, end_word int, keep boolean")
+    spans = again.repartition("id").sortWithinPartitions("id", "keep", "pos").mapInArrow(spans_of, "id long, start_word int, end_word int, keep boolean")
     return spans.withColumnRenamed("id", doc_id)
