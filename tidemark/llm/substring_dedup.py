@@ -155,8 +155,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """(doc_id, start_word, end_word, keep) of every maximal span of words made of passages that stand in two places.
 
     Words are runs without ASCII white space, counted from 0; end_word is exclusive. ``keep`` marks the spans of first
-    occurrences (least id, then position), so that removing the others leaves one of each passage. A text that is equal
-    to another as a whole is reported as one span; of equal texts only the first is searched further.
+    occurrences (least id, then position); a span that isn't kept may overlap one that is. A text that is equal to
+    another as a whole is reported as one span; of equal texts only the first is searched further.
     Rows with a null id or text, or of fewer than 50 words, have no spans. Rows that repeat id and text are one
     document. An empty table gives an empty one. Other columns are never read. ``doc_id`` must be an integer.
     """
