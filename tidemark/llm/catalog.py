@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, media, minhash, packing, records, substring_dedup, suffix_dedup
+from tidemark.llm import decontaminate, line_dedup, media, minhash, packing, quality, records, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that stay."""
+    found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.where("keep").select("r.doc_id", "r.lang", "r.source", "perplexity", "score", "threshold")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
     return line_dedup.line_dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
@@ -46,7 +52,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_suffix_array_dedup, op2_benchmark_decontamination, op5_line_dedup, op6_media_columns, op7_best_fit_packing, op8_token_records, op9_substring_dedup, op10_minhash_near_dedup]
+    found = [op1_suffix_array_dedup, op2_benchmark_decontamination, op4_quality_classifier, op5_line_dedup, op6_media_columns, op7_best_fit_packing, op8_token_records, op9_substring_dedup, op10_minhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
