@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, media, minhash, packing, quality, records, substring_dedup, suffix_dedup
+from tidemark.llm import decontaminate, line_dedup, media, minhash, packing, quality, records, substring_dedup, suffix_dedup, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that stay."""
     found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -52,7 +56,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op1_suffix_array_dedup, op2_benchmark_decontamination, op4_quality_classifier, op5_line_dedup, op6_media_columns, op7_best_fit_packing, op8_token_records, op9_substring_dedup, op10_minhash_near_dedup]
+    found = [op1_suffix_array_dedup, op2_benchmark_decontamination, op3_html_extraction, op4_quality_classifier, op5_line_dedup, op6_media_columns, op7_best_fit_packing, op8_token_records, op9_substring_dedup, op10_minhash_near_dedup]
     return {f.__name__: f for f in found}
 
 
