@@ -26,7 +26,7 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that stay."""
-    found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), carry=["doc_id", "lang", "source"])
     return found.where("keep").select("r.doc_id", "r.lang", "r.source", "perplexity", "score", "threshold")
 
 

@@ -7,10 +7,12 @@ maximal run of bytes that are not ASCII white space (0x09-0x0D, 0x1C-0x20).
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -62,6 +64,52 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark hand documents to Python by at most ``BATCH_ROWS`` in this session: 10,000 long texts at once would be
+    held several times over, in the executor and in its Python workers."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+#: What a worker keeps between tasks, by operator: a function that drops it.
+CACHES: dict[str, Callable[[], None]] = {}
+
+
+def lean(run: Callable, rows: int = 1000, keep: str = "") -> Callable:
+    """``run`` over slices of at most ``rows`` rows, for mapInArrow. A worker lives on from operator to operator, so it
+    drops what others left before it begins, and gives free memory back when it ends."""
+
+    def trimmed() -> None:
+        for name, drop in CACHES.items():
+            if name != keep:
+                drop()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # only the GNU library has it
+            pass
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, rows):
+                yield batch.slice(i, rows)
+            del batch
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trimmed()
+        try:
+            yield from run(slices(batches))
+        finally:
+            trimmed()
+
+    return whole
+
+
 def content_key(text: Column) -> Column:
     """128 bits and more that stand for a text."""
     return F.struct(
@@ -85,7 +133,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about ``most`` bytes each; every row is in one range."""
     at, n = 0, len(offsets) - 1
     while at < n:
@@ -102,6 +150,7 @@ _BYTE = _rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15 | 1
 _PINV = pow(_P, -1, 2**64)
 _pow: dict[int, np.ndarray] = {}
+CACHES["powers"] = _pow.clear
 
 
 def powers(n: int, base: int) -> np.ndarray:
@@ -112,7 +161,7 @@ def powers(n: int, base: int) -> np.ndarray:
         have = np.full(size, np.uint64(base % 2**64), np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if size <= 1 << 23:  # an unusually long text doesn't leave its table behind
+        if size <= 1 << 21:  # an unusually long text doesn't leave its table behind
             _pow[base] = have
     return have[:n]
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NOT_ALNUM, fold, pieces, text_bytes
+from tidemark.llm.common import CACHES, fold, lean, NOT_ALNUM, pieces, small_batches, text_bytes
 
 NGRAM, SHORTEST, PART_CHARS = 8, 4, 400_000
 
@@ -64,6 +64,7 @@ def _patterns(items: list[tuple[int, str]]) -> dict[str, list[int]]:
 
 
 _built: dict[str, ahocorasick.Automaton] = {}
+CACHES["automaton"] = _built.clear
 
 
 def _automaton(part) -> ahocorasick.Automaton | None:
@@ -152,10 +153,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
         return run
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where("t IS NOT NULL")
     found = None
     for part in _parts(docs.sparkSession, benchmark, item_id, item_text):
-        one = rows.mapInArrow(scan(part), schema)
+        one = rows.mapInArrow(lean(scan(part), keep="automaton"), schema)
         found = one if found is None else found.unionByName(one)
     return found.select(F.col("id").alias(doc_id), F.col("item").alias(item_id), F.col("from").alias("start"), F.col("to").alias("end"))
 
@@ -175,7 +177,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
         return run
 
+    small_batches(docs.sparkSession)
     out = docs
     for part in _parts(docs.sparkSession, benchmark, item_id, item_text):
-        out = out.mapInArrow(keep(part), docs.schema)
+        out = out.mapInArrow(lean(keep(part), keep="automaton"), docs.schema)
     return out

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import lean, small_batches
+
 _RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 _KBPS = {
     (1, 3): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
@@ -210,11 +212,9 @@ _TYPES = [pa.bool_(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int64
 
 
 def media_columns(batches: Iterator[pa.RecordBatch], key: str, column: str) -> Iterator[pa.RecordBatch]:
-    for big in batches:
-        for lo in range(0, big.num_rows, 500):
-            batch = big.slice(lo, 500)
-            cols = list(zip(*media_rows(batch.column(column).to_pylist())))
-            yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(c, t) for c, t in zip(cols, _TYPES))], [key, *_NAMES])
+    for batch in batches:
+        cols = list(zip(*media_rows(batch.column(column).to_pylist())))
+        yield pa.RecordBatch.from_arrays([batch.column(key), *(pa.array(c, t) for c, t in zip(cols, _TYPES))], [key, *_NAMES])
 
 
 def media_info(media: DataFrame, key: str, column: str = "audio") -> DataFrame:
@@ -224,8 +224,9 @@ def media_info(media: DataFrame, key: str, column: str = "audio") -> DataFrame:
     as skipped; repeated rows and null keys are kept; an empty table gives an empty one. Streams of any length are
     walked to their end. Other columns are never read. Rows stay where they are: no shuffle.
     """
+    small_batches(media.sparkSession)
     kind = media.schema[key].dataType.simpleString()
-    return media.select(key, column).mapInArrow(lambda it: media_columns(it, key, column), f"`{key}` {kind}, {SCHEMA}")
+    return media.select(key, column).mapInArrow(lean(lambda it: media_columns(it, key, column), 500), f"`{key}` {kind}, {SCHEMA}")
 
 
 # -- streams made from the documents, as the tables have no audio --
@@ -279,10 +280,9 @@ def document_streams(docs: DataFrame) -> DataFrame:
     """(doc_id, media columns) of the streams made from ``docs``; made and parsed in one pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for big in batches:
-            for lo in range(0, big.num_rows, 500):
-                b = big.slice(lo, 500)
-                made = [stream_of(*x) for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "source")))]
-                yield from media_columns(iter([pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made, pa.large_binary())], ["doc_id", "audio"])]), "doc_id", "audio")
+        for b in batches:
+            made = [stream_of(*x) for x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "source")))]
+            yield from media_columns(iter([pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(made, pa.large_binary())], ["doc_id", "audio"])]), "doc_id", "audio")
 
-    return docs.select(F.col("doc_id").cast("long"), "text", "source").mapInArrow(run, f"doc_id long, {SCHEMA}")
+    small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long"), "text", "source").mapInArrow(lean(run, 500), f"doc_id long, {SCHEMA}")

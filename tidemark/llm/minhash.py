@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NOT_ALNUM, components, fold, mix, pieces, text_bytes, window_hashes, word_hashes, words, written
+from tidemark.llm.common import components, fold, lean, mix, NOT_ALNUM, pieces, small_batches, text_bytes, window_hashes, word_hashes, words, written
 
 SHINGLE, HASHES, TREES, DEPTH, LEAF, THRESHOLD = 3, 128, 8, 8, 16, 0.5
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -166,9 +166,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
     signed = written(
-        rows.mapInArrow(_sign, "id long, sig binary").withColumn("k", F.struct(F.xxhash64("sig").alias("x"), F.hash("sig").alias("m"))),
+        rows.mapInArrow(lean(_sign), "id long, sig binary").withColumn("k", F.struct(F.xxhash64("sig").alias("x"), F.hash("sig").alias("m"))),
         "signatures",
     )
     nodes = written(signed.groupBy("k").agg(F.min("id").alias("node"), F.first("sig").alias("sig")), "nodes")
@@ -179,7 +180,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         nodes.select("node", low.alias("low"), trees.alias("x")).select("node", "low", "x.tree", "x.label")
         .repartitionByRange("tree", "label").sortWithinPartitions("tree", "label")
     )
-    pairs = order.mapInArrow(lambda it: _pairs(it, threshold), "a long, b long")
+    pairs = order.mapInArrow(lean(lambda it: _pairs(it, threshold), 10_000), "a long, b long")
     twins = signed.join(nodes.select("k", "node"), "k").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     groups = components(pairs.unionByName(twins))
     return groups.select(F.col("node").alias(doc_id), F.col("root").alias("group_id"), (F.col("node") == F.col("root")).alias("keep"))

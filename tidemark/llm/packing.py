@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import lean, small_batches, written
 from tidemark.llm.tokens import TOKENIZERS, VOCABULARY, Tokens
 
 CAPACITY = 2048
@@ -100,6 +100,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
 def token_counts(docs: DataFrame, doc_id: str, text: str, folder: str, name: str) -> DataFrame:
     """(id, x, n): document, hash of its text, number of its tokens."""
+    small_batches(docs.sparkSession)
     tokens = Tokens(docs.sparkSession, folder, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +110,7 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, folder: str, name: str
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), pa.array(n, pa.int64())], ["id", "x", "n"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("x"), F.col(text).alias("t")).where("t <> ''")
-    return rows.mapInArrow(run, "id long, x long, n long")
+    return rows.mapInArrow(lean(run, keep="tokens"), "id long, x long, n long")
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
@@ -154,4 +155,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text
                 ["bin_id", "bin_offset", "id", "chunk", "token_start", "n_tokens"],
             )
 
-    return ranked.mapInArrow(place, "bin_id long, bin_offset long, id long, chunk int, token_start long, n_tokens long").withColumnRenamed("id", doc_id)
+    return ranked.mapInArrow(lean(place, 10_000), "bin_id long, bin_offset long, id long, chunk int, token_start long, n_tokens long").withColumnRenamed("id", doc_id)

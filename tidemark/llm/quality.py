@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_path, pieces, text_bytes, written
+from tidemark.llm.common import CACHES, lean, new_path, pieces, small_batches, text_bytes, written
 
 ORDER, FENCE, PRIOR, SHARD_ROWS = 5, 3.0, 100, 1_500_000
 BEGIN = 2
@@ -93,10 +93,11 @@ def _low(g: str, n: int) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, n, g, lp, lb): log-probability of each n-gram and log-weight of what backs off from it as a context; either may be null."""
+    small_batches(docs.sparkSession)
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col(doc_id).cast("long").alias("id")).distinct()
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("t")).where("id IS NOT NULL AND t <> ''")
-    packed = rows.mapInArrow(_pack, "id long, lang string, z binary")
-    counts = packed.join(good, "id").select("lang", "z").mapInArrow(_count, "lang string, g long, c long")
+    packed = rows.mapInArrow(lean(_pack), "id long, lang string, z binary")
+    counts = packed.join(good, "id").select("lang", "z").mapInArrow(lean(_count), "lang string, g long, c long")
     counted = written(counts.groupBy("lang", "g").agg(F.sum("c").alias("c")), "ngrams")
     orders = {ORDER: counted}
     for n in range(ORDER - 1, 0, -1):  # a shorter n-gram counts once for each byte that it is found behind
@@ -250,30 +251,36 @@ def _shard(path: str, k: int, langs: tuple[str, ...]) -> Shard:
     return Shard(keys, tuple(t[c].to_numpy().astype(np.float32) for c in ("lp", "lb")))
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` in a struct ``r`` with its language ``l``, bytes ``nb`` and sum of log-probabilities ``ll``; null where there is no model or text."""
-    rows = docs.select(F.struct("*").alias("r"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("l"), F.col(text).alias("t"))
+CACHES["model"] = _shard.cache_clear
+
+
+def scored(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` (all by default) of ``docs`` in a struct ``r`` with the language ``l``, bytes ``nb`` and sum of log-probabilities ``ll``; null where there is no model or text."""
+    small_batches(docs.sparkSession)
+    carry = carry or docs.columns
+    inside = text in carry  # then the text travels once
+    rows = docs.select(F.struct(*carry).alias("r"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("l"), *([] if inside else [F.col(text).alias("t")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column("t"))
+            r = batch.column("r")
+            data, offsets = text_bytes(r.field(carry.index(text)) if inside else batch.column("t"))
             langs = np.array([model.langs.get(x, -1) for x in batch.column("l").to_pylist()], np.int64)
             size = np.diff(offsets)
             ll = np.zeros(batch.num_rows)
-            for lo, hi in pieces(offsets, 1_000_000 if model.shards < 3 else 4_000_000):
+            for lo, hi in pieces(offsets, 500_000 if model.shards < 3 else 2_000_000):
                 at = offsets[lo : hi + 1]
                 ll[lo:hi] = model.score(data[at[0] : at[-1]], at - at[0], np.maximum(langs[lo:hi], 0))
             none = (langs < 0) | (size == 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("r"), batch.column("l"), pa.array(size), pa.array(ll, mask=none)], ["r", "l", "nb", "ll"]
-            )
+            yield pa.RecordBatch.from_arrays([r, batch.column("l"), pa.array(size), pa.array(ll, mask=none)], ["r", "l", "nb", "ll"])
+            del batch, r, data
 
     schema = rows.select("r", "l").withColumn("nb", F.lit(0).cast("long")).withColumn("ll", F.lit(0.0)).schema
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run, keep="model"), schema)
 
 
-def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fence: float = FENCE) -> DataFrame:
-    """(r, perplexity, score, threshold, keep) for every row of ``docs``, r the row.
+def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fence: float = FENCE, carry: list[str] | None = None) -> DataFrame:
+    """(r, perplexity, score, threshold, keep) for every row of ``docs``, r the row or its columns ``carry``.
 
     Kept without a score: a null or empty text, and a language without trusted text (a null language is one of its
     own). Labels with null values aren't trusted; a document with several labels is trusted if one of them says so.
@@ -281,7 +288,7 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     scored to their end.
     """
     model = Model(train(docs, labels, doc_id, text, lang))
-    table = written(scored(docs, model, text, lang).withColumn("h", -F.col("ll") / F.col("nb")), "scored")
+    table = written(scored(docs, model, text, lang, carry).withColumn("h", -F.col("ll") / F.col("nb")), "scored")
     middle = table.where("h IS NOT NULL").groupBy("l").agg(F.percentile_approx("h", F.array(F.lit(0.5)), F.lit(10_000)).alias("q")).select("l", F.col("q")[0].alias("mid"))
     mids = {r.l: r.mid for r in middle.toLocalIterator()}  # a number for each language
     mid = F.lit(None).cast("double")

@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_path
+from tidemark.llm.common import lean, new_path, small_batches
 from tidemark.llm.tokens import TOKENIZERS, VOCABULARY, Tokens
 
 BLOCK = 64
@@ -136,6 +136,7 @@ def write_records(docs: DataFrame, path: str | None = None, doc_id: str = "doc_i
     than the two are never read. ``doc_id`` must be an integer.
     """
     spark = docs.sparkSession
+    small_batches(docs.sparkSession)
     path = path or new_path(spark, "records")
     tokens = Tokens(spark, folder, name)
     kind = "<u2" if tokens.size <= 1 << 16 else "<u4"
@@ -145,27 +146,25 @@ def write_records(docs: DataFrame, path: str | None = None, doc_id: str = "doc_i
         fs, root = pafs.FileSystem.from_uri(path)
         shard, out, at = f"shard-{uuid.uuid4().hex}.bin", None, 0
         try:
-            for batch in batches:
-                for lo in range(0, batch.num_rows, 500):
-                    part = batch.slice(lo, 500)
-                    ids = [NO_ID if x is None else x for x in part.column("id").to_pylist()]
-                    encoded = [np.array(encode(x.as_py()), kind) for x in part.column("t")]
-                    raw, offset, size = frames(ids, encoded, kind)
-                    if out is None:
-                        fs.create_dir(f"{root}/data", recursive=True)
-                        out = fs.open_output_stream(f"{root}/data/{shard}")
-                    out.write(raw)
-                    yield pa.RecordBatch.from_arrays(
-                        [part.column("id"), pa.array([shard] * len(ids)), pa.array(offset + at), pa.array(size + 16), pa.array([len(t) for t in encoded], pa.int64())],
-                        ["id", "shard", "offset", "length", "n_tokens"],
-                    )
-                    at += len(raw)
+            for part in batches:
+                ids = [NO_ID if x is None else x for x in part.column("id").to_pylist()]
+                encoded = [np.array(encode(x.as_py()), kind) for x in part.column("t")]
+                raw, offset, size = frames(ids, encoded, kind)
+                if out is None:
+                    fs.create_dir(f"{root}/data", recursive=True)
+                    out = fs.open_output_stream(f"{root}/data/{shard}")
+                out.write(raw)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id"), pa.array([shard] * len(ids)), pa.array(offset + at), pa.array(size + 16), pa.array([len(t) for t in encoded], pa.int64())],
+                    ["id", "shard", "offset", "length", "n_tokens"],
+                )
+                at += len(raw)
         finally:
             if out is not None:
                 out.close()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).where("t IS NOT NULL")
-    index = rows.mapInArrow(run, "id long, shard string, offset long, length long, n_tokens long").withColumnRenamed("id", doc_id)
+    index = rows.mapInArrow(lean(run, 500, keep="tokens"), "id long, shard string, offset long, length long, n_tokens long").withColumnRenamed("id", doc_id)
     index.write.parquet(f"{path}/index")
     index = spark.read.schema(index.schema).parquet(f"{path}/index")
     named = {r.shard for r in index.select("shard").distinct().toLocalIterator()}

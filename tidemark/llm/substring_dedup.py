@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import mix, pieces, text_bytes, window_hashes, word_hashes, words
+from tidemark.llm.common import lean, mix, pieces, small_batches, text_bytes, window_hashes, word_hashes, words
 
 MIN_WORDS, PERIOD, COVER = 50, 31, (1, 5, 11, 24, 25, 27)
 WINDOW = MIN_WORDS - PERIOD + 1
@@ -160,14 +160,15 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Rows with a null id or text, or of fewer than 50 words, have no spans. Rows that repeat id and text are one
     document. An empty table gives an empty one. Other columns are never read. ``doc_id`` must be an integer.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("k"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
-    anchors = rows.select("k", "t").mapInArrow(_anchors, "h long, k long, pos int")
-    shared = anchors.repartition("h").sortWithinPartitions("h", "k", "pos").mapInArrow(shared_places, "k long, pos int")
+    anchors = rows.select("k", "t").mapInArrow(lean(_anchors), "h long, k long, pos int")
+    shared = anchors.repartition("h").sortWithinPartitions("h", "k", "pos").mapInArrow(lean(shared_places, 10_000), "k long, pos int")
     around = shared.groupBy("k").agg(F.collect_set("pos").alias("at"))
     found = (
         rows.join(around, "k", "left").select("k", "id", "t", F.coalesce("at", F.array().cast("array<int>")).alias("at"))
-        .sortWithinPartitions("k", "id").mapInArrow(_windows, "h long, id long, pos int, n int")
+        .sortWithinPartitions("k", "id").mapInArrow(lean(_windows), "h long, id long, pos int, n int")
     )
-    again = found.repartition("h").sortWithinPartitions("h", "id", "pos").mapInArrow(_repeated, "id long, pos int, n int, keep boolean")
-    spans = again.repartition("id").sortWithinPartitions("id", "keep", "pos").mapInArrow(spans_of, "id long, start_word int, end_word int, keep boolean")
+    again = found.repartition("h").sortWithinPartitions("h", "id", "pos").mapInArrow(lean(_repeated, 10_000), "id long, pos int, n int, keep boolean")
+    spans = again.repartition("id").sortWithinPartitions("id", "keep", "pos").mapInArrow(lean(spans_of, 10_000), "id long, start_word int, end_word int, keep boolean")
     return spans.withColumnRenamed("id", doc_id)

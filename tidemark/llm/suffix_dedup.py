@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import _W, _WINV, mix, powers, window_hashes, word_hashes
+from tidemark.llm.common import _W, _WINV, lean, mix, powers, small_batches, window_hashes, word_hashes
 from tidemark.llm.substring_dedup import MIN_WORDS, inside, shared_places, spans_of, split_words
 
 TRIGGER, AMONG, RESIDUE = 4, 6, 8
@@ -270,14 +270,15 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Rows with a null id or text, or of fewer than 50 words, have no spans. Rows that repeat id and text are one
     document. An empty table gives an empty one. Other columns are never read. ``doc_id`` must be an integer.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("k"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
-    named = rows.select("k", "t").mapInArrow(_names, "h long, k long, pos int")
-    shared = named.repartition("h").sortWithinPartitions("h", "k", "pos").mapInArrow(shared_places, "k long, pos int")
+    named = rows.select("k", "t").mapInArrow(lean(_names), "h long, k long, pos int")
+    shared = named.repartition("h").sortWithinPartitions("h", "k", "pos").mapInArrow(lean(shared_places, 10_000), "k long, pos int")
     around = shared.groupBy("k").agg(F.collect_set("pos").alias("at"))
     contexts = (
         rows.join(around, "k", "left").select("k", "id", "t", F.coalesce("at", F.array().cast("array<int>")).alias("at"))
-        .sortWithinPartitions("k", "id").mapInArrow(_contexts, "h long, id long, pos int, n int, words binary")
+        .sortWithinPartitions("k", "id").mapInArrow(lean(_contexts), "h long, id long, pos int, n int, words binary")
     )
-    found = contexts.repartition("h").sortWithinPartitions("h", "words", "id", "pos").mapInArrow(_passages, "id long, pos int, n int, keep boolean")
-    spans = found.repartition("id").sortWithinPartitions("id", "keep", "pos").mapInArrow(spans_of, "id long, start_word int, end_word int, keep boolean")
+    found = contexts.repartition("h").sortWithinPartitions("h", "words", "id", "pos").mapInArrow(lean(_passages), "id long, pos int, n int, keep boolean")
+    spans = found.repartition("id").sortWithinPartitions("id", "keep", "pos").mapInArrow(lean(spans_of, 10_000), "id long, start_word int, end_word int, keep boolean")
     return spans.withColumnRenamed("id", doc_id)

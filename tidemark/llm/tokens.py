@@ -8,9 +8,12 @@ import hashlib
 import tiktoken
 from pyspark.sql import SparkSession
 
+from tidemark.llm.common import CACHES
+
 TOKENIZERS, VOCABULARY = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _made: dict[str, tiktoken.Encoding] = {}
+CACHES["tokens"] = _made.clear
 
 
 class Tokens:

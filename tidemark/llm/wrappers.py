@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import written
+from tidemark.llm.common import lean, small_batches, written
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HOSTS_AT_ONCE = 5000
@@ -320,9 +320,10 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """(host, pages, wrapper, main) for each host: number of pages, the wrapper as JSON, the part of the page with most data."""
+    small_batches(pages.sparkSession)
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("html")).where("html <> ''")
-    partial = rows.mapInArrow(_partial, "host string, pages long, wrapper string")
-    return partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(_whole, "host string, pages long, wrapper string, main string")
+    partial = rows.mapInArrow(lean(_partial), "host string, pages long, wrapper string")
+    return partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(lean(_whole), "host string, pages long, wrapper string, main string")
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -333,6 +334,7 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     text and no fields; pages without a host are one host; null ids and repeated rows are kept; an empty table gives an
     empty one; malformed markup is text or is skipped, never an error. Pages are read whole. Other columns are not read.
     """
+    small_batches(pages.sparkSession)
     kind = pages.schema[page_id].dataType.simpleString()
     wrappers = written(infer_wrappers(pages, url, page), "wrappers")
 
@@ -363,5 +365,5 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
     rows = pages.select(F.col(page_id).alias("id"), host_of(F.col(url)).alias("host"), F.when(F.col(page) != "", F.col(page)).alias("html"))
     joined = rows.join(wrappers, "host", "left").withColumn("wrapper", F.when(F.col("html").isNotNull(), F.col("wrapper")))
-    out = joined.mapInArrow(run, f"id {kind}, host string, text string, fields array<struct<path string, value string>>")
+    out = joined.mapInArrow(lean(run), f"id {kind}, host string, text string, fields array<struct<path string, value string>>")
     return out.withColumnRenamed("id", page_id)
