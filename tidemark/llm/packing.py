@@ -1,7 +1,7 @@
 """Operator 7, best-fit packing: best-fit decreasing with a segment tree over remaining capacities.
 
 Documents are divided into chunks of at most ``CAPACITY`` tokens, and chunks are put, longest first, into the open bin
-with the least room that is enough, or a new one. The tree has a leaf for each remaining capacity; a descent finds the
+with the least room that is enough (the oldest of equals), or a new one. The tree has a leaf for each remaining capacity; a descent finds the
 tightest open bin in logarithmic time. Chunks of one length are alike, so the whole corpus is packed from its histogram
 of lengths: while a length lasts, the tightest bin stays the tightest for it, and bins with equal room are handled as a
 range. That gives the packing that handling chunks one by one gives, in time and memory that depend on the capacity and
@@ -12,6 +12,7 @@ data, not within partitions.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,7 +69,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
 
     def put(room: int, first: int, many: int) -> None:
         if room and many:
-            open_[room].append((first, many))
+            heapq.heappush(open_[room], (first, many))
             tree.set(room, True)
 
     for length in sorted(counts, reverse=True):
@@ -81,10 +82,10 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
                 bins += many
             else:
                 each = room // length
-                first, have = open_[room].pop()
+                first, have = heapq.heappop(open_[room])
                 many = min(have, -(-rest // each))
                 if have > many:
-                    open_[room].append((first + many, have - many))
+                    heapq.heappush(open_[room], (first + many, have - many))
                 elif not open_[room]:
                     tree.set(room, False)
             placed = min(rest, many * each)
