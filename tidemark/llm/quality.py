@@ -26,10 +26,11 @@ import pyarrow.parquet as pq
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import CACHES, lean, new_path, pieces, small_batches, text_bytes, written
 
-ORDER, FENCE, PRIOR, SHARD_ROWS = 5, 3.0, 100, 1_500_000
+ORDER, FENCE, PRIOR, SHARD_ROWS, BROADCAST_IDS = 5, 3.0, 100, 1_500_000, 1_000_000
 BEGIN = 2
 
 
@@ -74,8 +75,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         waiting: dict[str, list[bytes]] = {}
         size: dict[str, int] = {}
-        for lang, packed in zip(batch.column("lang").to_pylist(), batch.column("z")):
-            waiting.setdefault(lang, []).append(z.decompress(packed.as_buffer()))
+        raw = batch.column(1).type == pa.binary()
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column(1)):
+            waiting.setdefault(lang, []).append(z.decompress(text.as_buffer()) if raw else text.as_buffer().to_pybytes())
             size[lang] = size.get(lang, 0) + len(waiting[lang][-1])
             if size[lang] > 1_500_000:
                 add(lang, waiting.pop(lang))
@@ -96,8 +98,12 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     small_batches(docs.sparkSession)
     good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col(doc_id).cast("long").alias("id")).distinct()
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("t")).where("id IS NOT NULL AND t <> ''")
-    packed = rows.mapInArrow(lean(_pack), "id long, lang string, z binary")
-    counts = packed.join(good, "id").select("lang", "z").mapInArrow(lean(_count), "lang string, g long, c long")
+    good = written(good, "trusted")
+    if good.count() <= BROADCAST_IDS:  # 8 bytes each; beyond that the texts are packed and shuffled
+        chosen = rows.join(F.broadcast(good), "id").select("lang", "t")
+    else:
+        chosen = rows.mapInArrow(lean(_pack), "id long, lang string, z binary").join(good, "id").select("lang", "z")
+    counts = chosen.mapInArrow(lean(_count), "lang string, g long, c long")
     counted = written(counts.groupBy("lang", "g").agg(F.sum("c").alias("c")), "ngrams")
     orders = {ORDER: counted}
     for n in range(ORDER - 1, 0, -1):  # a shorter n-gram counts once for each byte that it is found behind
@@ -275,7 +281,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang"
             yield pa.RecordBatch.from_arrays([r, batch.column("l"), pa.array(size), pa.array(ll, mask=none)], ["r", "l", "nb", "ll"])
             del batch, r, data
 
-    schema = rows.select("r", "l").withColumn("nb", F.lit(0).cast("long")).withColumn("ll", F.lit(0.0)).schema
+    schema = T.StructType([*rows.select("r", "l").schema.fields, T.StructField("nb", T.LongType()), T.StructField("ll", T.DoubleType())])
     return rows.mapInArrow(lean(run, keep="model"), schema)
 
 
