@@ -204,7 +204,7 @@ def test_near_texts(spark):
     assert ids(SemanticDedup(0.9)(s)) == ["0", "2"]
     more = Samples.from_list(spark, [{"id": str(i), "instruction": t} for i, t in enumerate(["abcabc", "xyz", "cabcab", "qrs", "xyw", "mno", "mnp", "qrt"])])
     op = TfidfDedup(0.99)
-    assert ids(op(more)) == ["0", "1", "3", "4", "5", "6", "7"]
+    assert ids(op(more)) == ["0", "1", "3", "5"]  # a letter of one text only is no token: xyz and xyw are alike
     assert op.metrics["threshold"] == 0.99
     d = DiversityFilter(2)
     assert len(d(s)) == 2 and d.metrics["output_count"] == 2

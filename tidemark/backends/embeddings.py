@@ -36,9 +36,10 @@ class EmbeddingBackend:
 
     def health_check(self) -> bool:
         try:
-            return self.embed(["ping"]).shape[0] == 1
+            found = self.embed(["ping"])
         except Exception:
             return False
+        return len(found) == 1
 
 
 @register_embedding("hashing")
@@ -78,18 +79,17 @@ class SentenceTransformersEmbedding(EmbeddingBackend):
 class OpenAIEmbedding(EmbeddingBackend):
     """A service with OpenAI's embeddings interface."""
 
-    SIZES = {"text-embedding-3-small": 1536, "text-embedding-3-large": 3072, "text-embedding-ada-002": 1536}
-
-    def __init__(self, model: str | None = None, api_key: str | None = None, base_url: str = "https://api.openai.com/v1", timeout: float = 60, **extra) -> None:
-        self.model, self.key, self.url, self.timeout = model or "text-embedding-3-small", api_key, base_url.rstrip("/"), timeout
-        self.dimension = self.SIZES.get(self.model, 1536)
+    def __init__(self, model: str | None = None, timeout: float = 60, base_url: str | None = None, api_key: str | None = None, **extra) -> None:
+        self.model, self.key, self.timeout = model or "text-embedding-3-small", api_key, timeout
+        self.url = (base_url or "https://api.openai.com/v1").rstrip("/")
+        self.dimension = 3072 if self.model.endswith("large") else 1536
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        body = json.dumps({"model": self.model, "input": texts}).encode()
+        body = json.dumps(dict(input=texts, model=self.model)).encode()
         req = urllib.request.Request(f"{self.url}/embeddings", body, {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
         with urllib.request.urlopen(req, timeout=self.timeout) as r:
-            data = sorted(json.load(r)["data"], key=lambda x: x["index"])
-        return np.array([d["embedding"] for d in data])
+            got = {d["index"]: d["embedding"] for d in json.load(r)["data"]}
+        return np.array([got[i] for i in range(len(texts))])
 
 
 for alias, name in (("st", "sentence_transformers"), ("huggingface", "sentence_transformers"), ("hf", "sentence_transformers")):

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import begins_with_any, has_any, occurrences, strip, words
 
-REFUSALS = ("as an ai", "i apologize", "i can't", "i cannot", "i don't have access", "i'm not able", "sorry, but")
+REFUSALS = ("sorry, but", "as an ai", "i'm not able", "i cannot", "i don't have access", "i apologize", "i can't")
 QUESTIONS = ("create", "describe", "explain", "how", "list", "what", "why", "write")
 DODGES = ("as an ai language model", "i can't", "i cannot", "i don't have the ability", "i'm unable")
 ANSWERS = ("are", "is", "no", "the", "yes")
-CHAINED = ("first,", "let me think", "let's break", "step 1", "to solve this")
+CHAINED = ("to solve this", "step 1", "let's break", "let me think", "first,")
 ARTIFACTS = ("...", "===", ">>>", "```")
 
 _COUNTED = {

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.frame import Samples
+from tidemark.registry import registry
 
 Watch = Callable[..., DataFrame]
 
@@ -17,15 +18,34 @@ def unwatched(df: DataFrame, place: str, **more: Column) -> DataFrame:
 
 
 class Operator:
-    """Subclasses give ``apply(df, watch)``; ``watch(df, place, name=aggregate)`` marks where rows are counted."""
+    """Subclasses give ``apply(df, watch)``; ``watch(df, place, name=aggregate)`` marks where rows are counted.
 
-    name = "operator"
+    A subclass with a ``name`` of its own is registered under it. ``defaults`` are its parameters, in order; values are
+    attributes of the operator. Parameters that it doesn't know are kept aside, as configurations may have more.
+    """
 
-    def __init__(self, **params) -> None:
-        self.params = params
+    name = "operator"
+    defaults: dict = {}
+
+    def __init_subclass__(cls) -> None:
+        if "name" in cls.__dict__:
+            registry.register("operators", cls.name, cls)
+
+    def __init__(self, *values, **more) -> None:
+        given = dict(zip(self.defaults, values))
+        if len(values) > len(self.defaults) or given.keys() & more.keys():
+            raise TypeError(f"{self.name} takes {', '.join(self.defaults)}")
+        given |= more
+        self.params = {k: given.pop(k, v) for k, v in self.defaults.items()}
+        self.extra = given
+        self.__dict__.update(self.params)
         self._seen: dict[str, Observation] = {}
         self._out: DataFrame | None = None
         self.ran = False
+        self.prepare()
+
+    def prepare(self) -> None:
+        """For what a subclass makes of its parameters."""
 
     def apply(self, df: DataFrame, watch: Watch = unwatched) -> DataFrame:
         raise NotImplementedError

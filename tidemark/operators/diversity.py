@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.base import Operator, Watch, unwatched
-from tidemark.registry import register_operator
 from tidemark.schema import set_meta
 
 EXACT_ROWS = 200_000
@@ -79,23 +78,23 @@ def category_diversity(df: DataFrame) -> DataFrame:
     return df.groupBy("category").agg(F.count("*").alias("n"))
 
 
-@register_operator("diversity_filter")
 class DiversityFilter(Operator):
     """Chooses a number of samples that differ: farthest first, by clusters, or at random."""
 
     name = "diversity_filter"
 
-    def __init__(self, target_count: int = 1000, selection_method: str = "maxmin", embedding_backend: str = "hashing", embedding_model: str | None = None, seed: int = 42, **extra) -> None:
-        super().__init__(target_count=target_count, selection_method=selection_method)
-        self.count, self.method, self.seed = target_count, selection_method, seed
-        self.backend, self.model = embedding_backend, embedding_model
+    defaults = dict(target_count=1000, selection_method="maxmin", seed=42, embedding_model=None, embedding_backend="hashing")
+
+    def prepare(self) -> None:
+        self.count, self.method = self.target_count, self.selection_method
 
     def vectors(self, df: DataFrame) -> DataFrame:
         from tidemark.backends.embeddings import embed_column, get_embedding
         from tidemark.plans.storage import stored
 
+        backend, model = self.embedding_backend, self.embedding_model
         text = F.concat("instruction", F.lit(" "), "output")
-        return stored(embed_column(df.select("_ord", text.alias("t")), "t", "vec", lambda: get_embedding(self.backend, self.model)).select("_ord", "vec"), "vectors")
+        return stored(embed_column(df.select("_ord", text.alias("t")), "t", "vec", lambda: get_embedding(backend, model)).select("_ord", "vec"), "vectors")
 
     def apply(self, df: DataFrame, watch: Watch = unwatched) -> DataFrame:
         if df.limit(self.count + 1).count() <= self.count:

@@ -11,16 +11,17 @@ from pyspark.sql import functions as F
 from tidemark.functions import scores
 from tidemark.functions.text import strip
 from tidemark.operators.base import Operator, Watch, unwatched
-from tidemark.registry import register_operator
 from tidemark.schema import set_meta
 
 
+MODEL = dict(llm_backend="ollama", llm_model=None, max_tokens=2048, temperature=0.3)
+
+
 class Enricher(Operator):
     """Asks a model about qualifying rows. Calls may be repeated when a task is, so stages write their result once."""
 
     styles: dict[str, str] = {}
     style = default_style = ""
-    llm_params: dict = {}
 
     def prompt(self) -> Column:
         """The style's template with its placeholders filled in, as a Column."""
@@ -39,7 +40,8 @@ class Enricher(Operator):
 
     def asked(self, df: DataFrame) -> DataFrame:
         """``df`` with ``_text`` and ``_error`` of the model's answer to ``_prompt``; a null prompt isn't asked."""
-        params = dict(self.llm_params)
+        params = dict(backend=self.llm_backend, model=self.llm_model, max_tokens=self.max_tokens, temperature=self.temperature)
+        params |= {k: v for k, v in self.extra.items() if k in ("base_url", "api_key", "fallback", "fallback_params")}
 
         @F.pandas_udf("struct<text string, error string>")
         def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -58,11 +60,7 @@ class Enricher(Operator):
         answer = ask.asNondeterministic()("_prompt")
         return df.withColumn("_answer", answer).withColumns({"_text": F.col("_answer.text"), "_error": F.col("_answer.error")})
 
-    def _settings(self, llm_backend: str, llm_model: str | None, temperature: float, max_tokens: int, extra: dict) -> None:
-        self.llm_params = {"backend": llm_backend, "model": llm_model, "temperature": temperature, "max_tokens": max_tokens} | {k: v for k, v in extra.items() if k in ("base_url", "api_key", "fallback", "fallback_params")}
-
 
-@register_operator("llm_synthesis")
 class LLMSynthesis(Enricher):
     """Rewrites the outputs of poor samples by a model; a failed call leaves the sample with a note."""
 
@@ -73,10 +71,10 @@ class LLMSynthesis(Enricher):
         "expand": "Give this answer more depth, with reasons and context.\nQuestion: {instruction}\nAnswer: {output}",
     }
 
-    def __init__(self, llm_backend: str = "ollama", llm_model: str | None = None, synthesis_style: str = "textbook", target_samples: str = "low_quality", quality_threshold: float = 0.7, temperature: float = 0.3, max_tokens: int = 2048, **extra) -> None:
-        super().__init__(llm_backend=llm_backend, synthesis_style=synthesis_style, target_samples=target_samples, quality_threshold=quality_threshold)
-        self.style, self.target, self.threshold = synthesis_style, target_samples, quality_threshold
-        self._settings(llm_backend, llm_model, temperature, max_tokens, extra)
+    defaults = MODEL | dict(synthesis_style="textbook", quality_threshold=0.7, target_samples="low_quality")
+
+    def prepare(self) -> None:
+        self.style, self.target, self.threshold = self.synthesis_style, self.target_samples, self.quality_threshold
 
     def wanted(self) -> Column:
         return scores.should_synthesize(self.target, F.col("meta.quality_score"), F.col("meta.knowledge_score"), self.threshold)
@@ -103,7 +101,6 @@ class LLMSynthesis(Enricher):
         return {"input_count": n, "output_count": n, "synthesized_count": m, "synthesis_rate": m / n if n else 0.0}
 
 
-@register_operator("reasoning_chain")
 class ReasoningChainEnhancer(Enricher):
     """Has a model answer reasoning samples step by step; an answer that loses the numbers is refused."""
 
@@ -114,10 +111,10 @@ class ReasoningChainEnhancer(Enricher):
         "tree_of_thought": "Consider several ways to solve this, compare them, and follow the best.\nTask: {instruction}{input_text}",
     }
 
-    def __init__(self, llm_backend: str = "ollama", llm_model: str | None = None, chain_style: str = "step_by_step", target_category: str = "reasoning", verify_logic: bool = True, temperature: float = 0.3, max_tokens: int = 2048, **extra) -> None:
-        super().__init__(llm_backend=llm_backend, chain_style=chain_style, target_category=target_category, verify_logic=verify_logic)
-        self.style, self.target, self.verify = chain_style, target_category, verify_logic
-        self._settings(llm_backend, llm_model, temperature, max_tokens, extra)
+    defaults = MODEL | dict(chain_style="step_by_step", verify_logic=True, target_category="reasoning")
+
+    def prepare(self) -> None:
+        self.style, self.target, self.verify = self.chain_style, self.target_category, self.verify_logic
 
     def wanted(self) -> Column:
         return scores.should_enhance(F.col("category"), F.col("output"), F.col("meta.has_reasoning_chain"), self.target)

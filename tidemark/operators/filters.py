@@ -8,25 +8,21 @@ from pyspark.sql import functions as F
 from tidemark.functions import scores
 from tidemark.functions.text import words
 from tidemark.operators.base import FilterOperator, Operator, TransformOperator, Watch, unwatched
-from tidemark.registry import register_operator
 from tidemark.schema import reorder, set_meta
 
 DIGITS = 9
 
 
-@register_operator("quality_filter")
 class QualityFilter(Operator):
     """Keeps samples whose quality score reaches a threshold; the score is stored."""
 
     name = "quality_filter"
 
-    def __init__(self, threshold: float = 0.8, scorer: str = "heuristic", min_instruction_length: int = 10, max_instruction_length: int = 2000, min_output_length: int = 20, max_output_length: int = 8000, **extra) -> None:
-        super().__init__(threshold=threshold)
-        self.threshold = threshold
-        self.bounds = (min_instruction_length, max_instruction_length, min_output_length, max_output_length)
+    defaults = dict(threshold=0.8, min_output_length=20, max_output_length=8000, min_instruction_length=10, max_instruction_length=2000, scorer="heuristic")
 
     def score(self) -> Column:
-        return scores.quality_score(F.col("instruction"), F.col("output"), *self.bounds)
+        bounds = self.min_instruction_length, self.max_instruction_length, self.min_output_length, self.max_output_length
+        return scores.quality_score(F.col("instruction"), F.col("output"), *bounds)
 
     def apply(self, df: DataFrame, watch: Watch = unwatched) -> DataFrame:
         s = F.col("meta.quality_score")
@@ -78,19 +74,16 @@ def knowledge_scores(df: DataFrame, corpus: DataFrame | None = None, vector: str
     return joined.select("_ord", with_ref.alias("knowledge_score"), "ref_sim")
 
 
-@register_operator("knowledge_filter")
 class KnowledgeFilter(Operator):
     """Keeps the samples with most knowledge, in that order: the best ``top_k``, or all from ``min_score`` on."""
 
     name = "knowledge_filter"
 
-    def __init__(self, top_k: int = 1000, min_score: float | None = None, embedding_backend: str = "hashing", embedding_model: str | None = None, **extra) -> None:
-        super().__init__(top_k=top_k, min_score=min_score)
-        self.top_k, self.min_score = top_k, min_score
-        self.backend, self.model = embedding_backend, embedding_model
-        self.corpus: list[str] | None = None
+    defaults = dict(top_k=1000, min_score=None, embedding_model=None, embedding_backend="hashing")
+    corpus: list[str] | None = None
 
-    def set_reference_corpus(self, texts: list[str]) -> None:
+    def set_reference_corpus(self, texts) -> None:
+        """Texts whose nearest one counts as a part of the score."""
         self.corpus = list(texts)
 
     def scored(self, df: DataFrame) -> DataFrame:
@@ -100,7 +93,8 @@ class KnowledgeFilter(Operator):
             from tidemark.backends.embeddings import embed_column, get_embedding
 
             spark = df.sparkSession
-            backend = lambda: get_embedding(self.backend, self.model)
+            name, model = self.embedding_backend, self.embedding_model
+            backend = lambda: get_embedding(name, model)
             corpus = embed_column(spark.createDataFrame([(t,) for t in self.corpus], "t string"), "t", "vec", backend)
             found = knowledge_scores(embed_column(df.withColumn("t", F.concat("instruction", F.lit(" "), "output")), "t", "vec", backend), corpus)
         return set_meta(df.join(found.select("_ord", "knowledge_score"), "_ord"), knowledge_score=F.col("knowledge_score")).select(*df.columns)
@@ -116,16 +110,15 @@ class KnowledgeFilter(Operator):
         return watch(kept.select(*df.columns), "out", min_kept_score=F.coalesce(F.min(s), F.lit(0.0)), max_score=F.max(s))
 
 
-@register_operator("noise_detector")
 class NoiseDetector(Operator):
     """Finds noisy samples by rules and removes, flags or keeps them by kind."""
 
     name = "noise_detector"
 
-    def __init__(self, method: str = "heuristic", threshold: float = 0.5, action_error: str = "remove", action_redundancy: str = "remove", action_ambiguity: str = "flag", **extra) -> None:
-        super().__init__(threshold=threshold, action_error=action_error, action_ambiguity=action_ambiguity)
-        self.threshold = threshold
-        self.actions = {"error": action_error, "redundancy": action_redundancy, "ambiguity": action_ambiguity}
+    defaults = dict(method="heuristic", threshold=0.5, action_ambiguity="flag", action_error="remove", action_redundancy="remove")
+
+    def prepare(self) -> None:
+        self.actions = {kind: getattr(self, f"action_{kind}") for kind in ("error", "redundancy", "ambiguity")}
 
     def judged(self, df: DataFrame) -> DataFrame:
         """``df`` with ``_issues``, ``_primary`` and ``_action``."""
@@ -159,12 +152,10 @@ class LengthFilter(FilterOperator):
 
     name = "length_filter"
 
-    def __init__(self, min_length: int = 50, max_length: int = 5000) -> None:
-        super().__init__(min_length=min_length, max_length=max_length)
-        self.least, self.most = min_length, max_length
+    defaults = dict(min_length=50, max_length=5000)
 
     def keep(self) -> Column:
-        return F.length("output").between(self.least, self.most)
+        return F.length("output").between(self.min_length, self.max_length)
 
 
 class PrefixAdder(TransformOperator):
@@ -172,9 +163,7 @@ class PrefixAdder(TransformOperator):
 
     name = "prefix_adder"
 
-    def __init__(self, prefix: str = "Answer: ") -> None:
-        super().__init__(prefix=prefix)
-        self.prefix = prefix
+    defaults = dict(prefix="Answer: ")
 
     def change(self) -> dict[str, Column]:
         return {"output": F.concat(F.lit(self.prefix), "output")}

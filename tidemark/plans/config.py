@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import os
 from dataclasses import dataclass, field, fields
+from pathlib import Path
 from typing import Any
 
+from tidemark.sources.local import load_json, save_json, save_text
+
 
 def _check(ok: bool, what: str) -> None:
     if not ok:
@@ -124,11 +126,14 @@ class PipelineConfig(_Loose):
 
 def expand(data: Any) -> Any:
     """``$VAR`` and ``${VAR}`` in all texts, at any depth."""
-    if isinstance(data, dict):
-        return {k: expand(v) for k, v in data.items()}
-    if isinstance(data, list):
-        return [expand(x) for x in data]
-    return os.path.expandvars(data) if isinstance(data, str) else data
+    match data:
+        case str():
+            return os.path.expandvars(data)
+        case list():
+            return [expand(x) for x in data]
+        case dict():
+            return {k: expand(v) for k, v in data.items()}
+    return data
 
 
 def merge(*configs: dict) -> dict:
@@ -151,23 +156,20 @@ def load_config(path: str) -> PipelineConfig:
     if not os.path.exists(path):
         raise FileNotFoundError(path)
     kind = _kind(path)
-    with open(path, encoding="utf-8") as f:
-        if kind == ".json":
-            data = json.load(f)
-        else:
-            import yaml
+    if kind == ".json":
+        data = load_json(path)
+    else:
+        import yaml
 
-            data = yaml.safe_load(f)
+        data = yaml.safe_load(Path(path).read_text("utf-8"))
     return PipelineConfig.of(expand(data or {}))
 
 
 def save_config(config: PipelineConfig, path: str) -> None:
     kind = _kind(path)
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        if kind == ".json":
-            json.dump(config.dump(), f, ensure_ascii=False, indent=2)
-        else:
-            import yaml
-
-            yaml.safe_dump(config.dump(), f, allow_unicode=True, sort_keys=False)
+    if kind == ".json":
+        save_json(path, config.dump())
+    else:
+        import yaml
+
+        save_text(path, yaml.safe_dump(config.dump(), allow_unicode=True, sort_keys=False))

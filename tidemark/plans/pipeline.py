@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import os
 import time
 from dataclasses import dataclass, field
@@ -13,6 +12,7 @@ from tidemark.frame import Samples
 from tidemark.plans.config import PipelineConfig, load_config
 from tidemark.plans.stages import Stage, get_stage_class
 from tidemark.registry import registry
+from tidemark.sources.local import load_json, save_json
 
 
 class Checkpointer:
@@ -26,19 +26,16 @@ class Checkpointer:
 
     def save(self, stage: str, samples: Samples, after=None) -> Samples:
         """Writes and reads back; ``after`` gives the stage's metrics once the job has run."""
-        os.makedirs(self.folder, exist_ok=True)
         path = f"{self.folder}/{stage}.parquet"
         samples.df.write.mode("overwrite").parquet(path)
         spark = samples.df.sparkSession
         back = Samples(spark.read.schema(samples.df.schema).parquet(path), samples.provenance)
-        facts = {"stage": stage, "sample_count": back.df.count(), "timestamp": time.time(), "provenance": list(samples.provenance), "metrics": after() if after else {}}
-        with open(self._facts(stage), "w", encoding="utf-8") as f:
-            json.dump(facts, f, ensure_ascii=False, indent=2)
+        facts = dict(stage=stage, sample_count=back.df.count(), provenance=list(samples.provenance), metrics=after() if after else {}, timestamp=time.time())
+        save_json(self._facts(stage), facts)
         return back
 
     def facts(self, stage: str) -> dict:
-        with open(self._facts(stage), encoding="utf-8") as f:
-            return json.load(f)
+        return load_json(self._facts(stage))
 
     def load(self, spark: SparkSession, stage: str) -> Samples:
         if not self.exists(stage):
@@ -77,9 +74,7 @@ class PipelineResult:
         return text
 
     def save(self, path: str) -> None:
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump({"stages": self.stages, "metrics": self.metrics, "elapsed": self.elapsed, "provenance": list(self.data.provenance)}, f, ensure_ascii=False, indent=2)
+        save_json(path, dict(stages=self.stages, metrics=self.metrics, elapsed=self.elapsed, provenance=list(self.data.provenance)))
 
 
 class Pipeline:
@@ -160,7 +155,8 @@ class Pipeline:
         return stage.process(samples)
 
     def status(self) -> dict:
-        return {"name": self.config.name, "stages": [s.name for s in self.stages], "checkpoints": self.checkpointer.list_checkpoints() if self.checkpointer else []}
+        saved = self.checkpointer.list_checkpoints() if self.checkpointer else []
+        return dict(name=self.config.name, checkpoints=saved, stages=[s.name for s in self.stages])
 
 
 class Tidemark:

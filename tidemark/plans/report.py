@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 import html
-import json
-import os
 
 from pyspark.sql import DataFrame
 
 from tidemark.plans.evaluation import metrics_dict
+from tidemark.sources.local import save_json, save_text
 
 
 def html_report(metrics: dict, preview: list[dict]) -> str:
@@ -31,10 +30,6 @@ def html_report(metrics: dict, preview: list[dict]) -> str:
 def write_reports(df: DataFrame, report_path: str, metrics_path: str) -> dict:
     metrics = metrics_dict(df)
     preview = [r.asDict(recursive=True) for r in df.orderBy("_ord").limit(10).collect()]
-    for path in (report_path, metrics_path):
-        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(metrics_path, "w", encoding="utf-8") as f:
-        json.dump(metrics, f, ensure_ascii=False, indent=2)
-    with open(report_path, "w", encoding="utf-8") as f:
-        f.write(html_report(metrics, preview))
+    save_json(metrics_path, metrics)
+    save_text(report_path, html_report(metrics, preview))
     return metrics

@@ -6,6 +6,7 @@ import os
 import shutil
 import subprocess
 import tempfile
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -24,9 +25,9 @@ class Stage:
 
     name = "stage"
 
-    def __init__(self, operators: list[Operator] | None = None, **settings: Any) -> None:
+    def __init__(self, operators: Sequence[Operator] = (), **settings: Any) -> None:
         self.settings = settings
-        self.operators = operators if operators else self.defaults()
+        self.operators = list(operators) or self.defaults()
 
     def defaults(self) -> list[Operator]:
         return []
@@ -109,9 +110,10 @@ class EvaluateStage(Stage):
 
     name = "s4_sandbox_eval"
 
-    def __init__(self, operators: list[Operator] | None = None, **settings: Any) -> None:
-        super().__init__(None, **settings)
-        self.operators, self.found = [], {}
+    found: dict = {}
+
+    def __init__(self, operators: Sequence[Operator] = (), **settings: Any) -> None:
+        super().__init__((), **settings)  # it has no use for operators
 
     def process(self, samples: Samples) -> Samples:
         s = self.settings

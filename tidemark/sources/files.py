@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +13,14 @@ from tidemark.frame import Samples
 from tidemark.functions.scores import category_by_count
 from tidemark.functions.text import strip
 from tidemark.schema import META, number, to_samples
+from tidemark.sources.local import save_json, save_text
 
 _RAW = T.StructType([T.StructField(k, T.StringType()) for k in ("id", "instruction", "input", "output", "category", "metadata", "meta", "metadata_json")] + [T.StructField("_ord", T.LongType())])
 QA = T.StructType([T.StructField("question", T.StringType()), T.StructField("answer", T.StringType())])
 
 
 def suffix_of(path: str) -> str:
-    return os.path.splitext(path.rstrip("/"))[1].lower()
+    return Path(path).suffix.lower()
 
 
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -103,28 +104,26 @@ def sft_rows(df: DataFrame) -> DataFrame:
 
 def write_sft(df: DataFrame, path: str) -> int:
     """One JSON array file, streamed to the driver row by row in order; returns the number of rows."""
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
     rows, n = sft_rows(df), 0
+    save_text(path, "")
     if "_ord" in rows.columns:
         rows = rows.orderBy("_ord").drop("_ord")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write("[")
+    with Path(path).open("a", encoding="utf-8") as out:
         for r in rows.toLocalIterator():
-            f.write((",\n" if n else "\n") + json.dumps(r.asDict(), ensure_ascii=False))
+            print(",\n" if n else "[\n", json.dumps(r.asDict(), ensure_ascii=False), sep="", end="", file=out)
             n += 1
-        f.write("\n]\n")
+        print("\n]" if n else "[]", file=out)
     return n
 
 
 def dataset_registry(names: list[str]) -> dict:
     """Name -> file and column map, for a fine-tuning tool."""
-    return {n: {"file_name": f"{n}.json", "columns": {"prompt": "instruction", "query": "input", "response": "output"}} for n in names}
+    columns = dict(zip(("prompt", "query", "response"), ("instruction", "input", "output")))
+    return {n: dict(file_name=f"{n}.json", columns=columns) for n in names}
 
 
 def write_registry(names: list[str], path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(dataset_registry(names), f, ensure_ascii=False, indent=2)
+    save_json(path, dataset_registry(names))
 
 
 def set_statistics(df: DataFrame) -> DataFrame:
