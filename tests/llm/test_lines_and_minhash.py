@@ -107,3 +107,11 @@ def test_components(spark):
         if a is not None and b is not None and a != b:
             parent[max(find(a), find(b))] = min(find(a), find(b))
     assert got == {x: find(x) for x in parent}
+
+
+def test_work_dir_is_qualified(spark):
+    from tidemark.llm.common import work_dir
+
+    import pyarrow.fs as pafs
+
+    assert work_dir(spark).startswith("file:///") and pafs.FileSystem.from_uri(work_dir(spark))[1].startswith("/")

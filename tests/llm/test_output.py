@@ -52,7 +52,7 @@ def test_passages_equal_brute_force(spark, sf):
         part = " ".join(w[: rng.randrange(6, len(w))])
         rows.append((10_000 + k, f"Été déjà — {part.upper().replace(' ', ' *** ')}; fin. {part}"))
     rows += [(20_000, None), (20_001, ""), (None, items[0][1]), (20_002, items[1][1] * 2000), (20_003, items[2][1]), (20_003, items[2][1])]
-    items += [(900, "Yes."), (901, "one two three four"), (902, None), (903, items[0][1])]
+    items += [(900, "Yes."), (901, "one two three four"), (902, None), (903, items[0][1]), (None, items[0][1])]
     rows.append((20_004, "She said: One, two, THREE four!"))
     got = decontaminate.contamination(spark.createDataFrame([(i, t, "q") for i, t in rows], "doc_id long, text string, item string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = {(rows[r][0], item, s, e) for r, item, s, e in brute_passages([t for _, t in rows], [x for x in items if x[1]])}

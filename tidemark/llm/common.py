@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import re
 import shutil
 import tempfile
 import uuid
@@ -30,7 +31,9 @@ def work_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    return re.sub(r"^file:/(?!/)", "file:///", whole)  # with its file system, so that workers find it without Spark
 
 
 def new_path(spark: SparkSession, name: str) -> str:

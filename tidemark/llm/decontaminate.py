@@ -72,7 +72,7 @@ def _automaton(part) -> ahocorasick.Automaton | None:
     if part.id not in _built:
         a = ahocorasick.Automaton()
         for pattern, items in _patterns(part.value).items():
-            a.add_word(pattern, (len(pattern), tuple(sorted(set(items)))))
+            a.add_word(pattern, (len(pattern), tuple(sorted(set(items), key=lambda x: (x is None, x or 0)))))
         a.make_automaton()
         _built.clear()
         _built[part.id] = a
@@ -131,7 +131,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     Overlapping runs of one item are one passage. A null text, an empty one or one of few words has no passages; a null
     id stays null; repeated rows are reported each; an empty table on either side gives an empty table. Items with one
-    text are all reported. Other columns are never read. Both ids must be integers.
+    text are all reported, and so is an item with a null id, as null. Other columns are never read. Both ids must be integers.
     """
     schema = "id long, item long, `from` int, `to` int"
 
