@@ -6,6 +6,8 @@ sample too. Doubles are rounded to six digits on both sides.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from tidemark.operators.enrich import LLMSynthesis, ReasoningChainEnhancer
 from tidemark.operators.filters import KnowledgeFilter, LengthFilter, NoiseDetector, PrefixAdder, QualityFilter, knowledge_scores, quality_metrics
 from tidemark.plans import evaluation
 from tidemark.plans.stages import chain
+from tidemark.plans.storage import ship
 from tidemark.schema import META, set_meta
 from tidemark.sources.files import convert_qa, sft_rows
 
@@ -28,7 +31,12 @@ _sql: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f):
-        _queries[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _queries[f.__name__] = run
         if sql is not None:
             _sql[f.__name__] = sql
         return f

@@ -11,6 +11,7 @@ from pyspark.sql import SparkSession
 from tidemark.frame import Samples
 from tidemark.plans.config import PipelineConfig, load_config
 from tidemark.plans.stages import Stage, get_stage_class
+from tidemark.plans.storage import ship
 from tidemark.registry import registry
 from tidemark.sources.local import load_json, save_json
 
@@ -163,6 +164,7 @@ class Tidemark:
     """One place for loading, running and the registry."""
 
     def __init__(self, spark: SparkSession, config: str | PipelineConfig | None = None) -> None:
+        ship(spark)
         self.spark = spark
         self.config = load_config(config) if isinstance(config, str) else config
         self.registry = registry
