@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.plans.storage import ship
+
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -72,7 +74,8 @@ BATCH_ROWS = 2000
 
 def small_batches(spark: SparkSession) -> None:
     """Has Spark hand documents to Python by at most ``BATCH_ROWS`` in this session: 10,000 long texts at once would be
-    held several times over, in the executor and in its Python workers."""
+    held several times over, in the executor and in its Python workers. Sends the workers this package, too."""
+    ship(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, str(BATCH_ROWS))
