@@ -45,33 +45,48 @@ def quality_metrics(df: DataFrame, operator: QualityFilter) -> DataFrame:
     )
 
 
+def with_word_parts(df: DataFrame) -> DataFrame:
+    """``df`` with ``_parts``, the sum of entropy, length and variety of a row's words, and ``_of``, how many of them count.
+
+    A row's words are sorted and their runs summed in one fold, so nothing is shuffled and a text costs little more than
+    its length.
+    """
+    df = df.withColumn("_w", F.array_sort(words(F.lower(F.concat("instruction", F.lit(" "), "output"))))).withColumn("_t", F.size("_w").cast("double"))
+
+    def gain(a: Column) -> Column:
+        p = a["run"] / a["total"]
+        return F.when(a["run"] > 0, -p * F.log2(p + 1e-10)).otherwise(0.0)
+
+    def state(w: Column, run: Column, h: Column, kinds: Column, total: Column) -> Column:
+        return F.struct(w.alias("w"), run.alias("run"), h.alias("h"), kinds.alias("kinds"), total.alias("total"))
+
+    zero, one = F.lit(0.0), F.lit(1.0)
+    folded = F.aggregate(
+        "_w", state(F.lit(""), zero, zero, zero, F.col("_t")),  # the total is in the state: the step reads nothing else, however the plan is folded
+        lambda a, x: F.when(a["w"] == x, state(a["w"], a["run"] + 1.0, a["h"], a["kinds"], a["total"])).otherwise(state(x, one, a["h"] + gain(a), a["kinds"] + 1.0, a["total"])),
+        lambda a: F.struct((a["h"] + gain(a)).alias("h"), a["kinds"].alias("kinds")),
+    )
+    df = df.withColumn("_f", folded)
+    some, length = F.col("_t") > 0, F.least(F.lit(1.0), F.length("output") / 1000)
+    worded = F.least(F.lit(1.0), F.col("_f.h") / 8) + F.col("_f.kinds") / F.greatest(F.col("_t"), F.lit(1.0))
+    return df.withColumns({"_parts": length + F.when(some, worded).otherwise(0.0), "_of": F.when(some, 3).otherwise(1)}).drop("_w", "_t", "_f")
+
+
 def knowledge_scores(df: DataFrame, corpus: DataFrame | None = None, vector: str = "vec") -> DataFrame:
-    """(_ord, knowledge_score, ref_sim): entropy, length and variety of words, and the nearest of a reference corpus.
+    """``df`` with ``knowledge_score`` and ``ref_sim``, the cosine of the nearest text of a reference corpus.
 
-    Words are counted by (row, word) in one shuffle, so a long text costs its length. ``corpus`` has unit vectors in
-    ``vector``, and so must ``df``; it is joined by brute force and broadcast by Spark only while it is small.
+    ``corpus`` has unit vectors in ``vector``, and so must ``df``; it is joined by brute force and broadcast by Spark only
+    while it is small.
     """
-    text = F.lower(F.concat("instruction", F.lit(" "), "output"))
-    base = df.select("_ord", F.explode_outer(words(text)).alias("w"))
-    counted = base.groupBy("_ord", "w").agg(F.count("w").alias("c"))
-    total = F.sum("c")
-    # -sum p log2(p + 1e-10) needs the total of the row: p = c / total by a second aggregation over the row's words
-    per_row = counted.groupBy("_ord").agg(total.alias("total"), F.count("w").alias("kinds"))
-    p = F.col("c") / F.col("total")
-    entropy = counted.join(per_row, "_ord").groupBy("_ord").agg(
-        F.first("total").alias("total"), F.first("kinds").alias("kinds"), (-F.sum(F.when(F.col("c") > 0, p * F.log2(p + 1e-10)).otherwise(0.0))).alias("h")
-    )
-    joined = df.select("_ord", F.length("output").alias("n")).join(entropy, "_ord")
-    length = F.least(F.lit(1.0), F.col("n") / 1000)
-    some = F.col("total") > 0
-    parts, count = length + F.when(some, F.least(F.lit(1.0), F.col("h") / 8) + F.col("kinds") / F.greatest("total", F.lit(1))).otherwise(0.0), F.when(some, 3).otherwise(1)
+    cols = df.columns
+    df = with_word_parts(df)
     if corpus is None:
-        return joined.select("_ord", (parts / count).alias("knowledge_score"), F.lit(None).cast("double").alias("ref_sim"))
+        return df.select(*cols, (F.col("_parts") / F.col("_of")).alias("knowledge_score"), F.lit(None).cast("double").alias("ref_sim"))
     dot = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
     near = df.select("_ord", F.col(vector).alias("_a")).crossJoin(corpus.select(F.col(vector).alias("_b"))).groupBy("_ord").agg(F.max(dot).alias("ref_sim"))
-    joined = joined.join(near, "_ord", "left")
-    with_ref = F.when(F.col("ref_sim").isNotNull(), (parts + F.col("ref_sim")) / (count + 1)).otherwise(parts / count)
-    return joined.select("_ord", with_ref.alias("knowledge_score"), "ref_sim")
+    df = df.join(near, "_ord", "left")
+    score = F.when(F.col("ref_sim").isNotNull(), (F.col("_parts") + F.col("ref_sim")) / (F.col("_of") + 1)).otherwise(F.col("_parts") / F.col("_of"))
+    return df.select(*cols, score.alias("knowledge_score"), "ref_sim")
 
 
 class KnowledgeFilter(Operator):
@@ -97,7 +112,7 @@ class KnowledgeFilter(Operator):
             backend = lambda: get_embedding(name, model)
             corpus = embed_column(spark.createDataFrame([(t,) for t in self.corpus], "t string"), "t", "vec", backend)
             found = knowledge_scores(embed_column(df.withColumn("t", F.concat("instruction", F.lit(" "), "output")), "t", "vec", backend), corpus)
-        return set_meta(df.join(found.select("_ord", "knowledge_score"), "_ord"), knowledge_score=F.col("knowledge_score")).select(*df.columns)
+        return set_meta(found, knowledge_score=F.col("knowledge_score")).select(*df.columns)
 
     def apply(self, df: DataFrame, watch: Watch = unwatched) -> DataFrame:
         s = F.col("meta.knowledge_score")

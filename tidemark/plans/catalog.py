@@ -176,8 +176,7 @@ _KW = (
 
 @query(f"WITH {DOCS}, {_KW} SELECT id, round(score, 6) AS knowledge_score FROM k")
 def knowledge_score(spark, d):
-    s = documents(spark, d)
-    return s.join(knowledge_scores(s), "_ord").select("id", r6("knowledge_score").alias("knowledge_score"))
+    return knowledge_scores(documents(spark, d)).select("id", r6("knowledge_score").alias("knowledge_score"))
 
 
 @query(f"WITH {PAIRS}, {_KW} SELECT id, round(score, 6) AS knowledge_score, row_number() OVER (ORDER BY round(score, 9) DESC, ord) - 1 AS rank FROM k QUALIFY rank < 100")
