@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import content_key
+from tidemark.llm.common import content_key, written
 
 MAX_DOCS = 10
 
@@ -45,13 +45,14 @@ def line_dedup(docs: DataFrame, text: str = "text", max_docs: int = MAX_DOCS) ->
     if max_docs < 1:
         raise ValueError("max_docs must be at least 1")
     bare = docs.select(F.col(text).alias("t")).where("t IS NOT NULL")
+    lines = written(_lines(bare, "t"), "lines")  # read twice, normalised and hashed once
     hot = (
-        _lines(bare, "t").where("h IS NOT NULL")
+        lines.where("h IS NOT NULL")
         .groupBy("h").agg(F.count_distinct("k").alias("n"))
         .where(F.col("n") > max_docs).select("h", F.lit(True).alias("hot"))
     )
     masks = (
-        _lines(bare, "t").join(hot, "h", "left")
+        lines.join(hot, "h", "left")
         .groupBy("k").agg(
             F.max(F.coalesce("hot", F.lit(False))).alias("lossy"),
             F.sort_array(F.collect_set(F.struct("pos", F.coalesce("hot", F.lit(False)).alias("hot")))).alias("flags"),
