@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import begins_with_any, has_any, occurrences, strip, words
+from tidemark.functions.text import begins_with_any, has_any, let, occurrences, strip, words
 
 REFUSALS = ("sorry, but", "as an ai", "i'm not able", "i cannot", "i don't have access", "i apologize", "i can't")
 QUESTIONS = ("create", "describe", "explain", "how", "list", "what", "why", "write")
@@ -40,10 +40,8 @@ def _length_part(text: Column, least: int, most: int) -> Column:
 def quality_score(instruction: Column, output: Column, min_instruction: int = 10, max_instruction: int = 2000, min_output: int = 20, max_output: int = 8000) -> Column:
     """Mean of five parts: both lengths, repetition, refusal and form."""
     low = F.lower(output)
-    w = words(low)
-    total = F.size(w)
-    repetition = F.when(total > 10, F.least(F.lit(1.0), 1.5 * F.size(F.array_distinct(w)) / total)).otherwise(0.8)
-    refusal = F.when(has_any(low, REFUSALS), 0.5).otherwise(1.0)
+    repetition = let(words(low), lambda w: F.when(F.size(w) > 10, F.least(F.lit(1.0), 1.5 * F.size(F.array_distinct(w)) / F.size(w))).otherwise(0.8))
+    refusal = F.when(let(low, lambda x: has_any(x, REFUSALS)), 0.5).otherwise(1.0)
     form = F.when(instruction.contains("?") | begins_with_any(F.lower(instruction), QUESTIONS), 1.0).otherwise(0.7)
     parts = [_length_part(instruction, min_instruction, max_instruction), _length_part(output, min_output, max_output), repetition, refusal, form]
     return reduce(lambda a, b: a + b, parts) / 5
@@ -51,14 +49,14 @@ def quality_score(instruction: Column, output: Column, min_instruction: int = 10
 
 def noise_issues(instruction: Column, output: Column) -> Column:
     """The issues of a sample in the order of their rules: array of (noise_type, confidence, reason)."""
-    low, w = F.lower(output), words(output)
+    low = F.lower(output)
     artifacts = reduce(lambda a, b: a + b, [occurrences(output, x) for x in ARTIFACTS])
     rules = [
         (F.length(strip(instruction)) < 5, "error", 0.9, "instruction_too_short"),
         (F.length(strip(output)) < 10, "error", 0.8, "output_too_short"),
-        ((F.size(w) > 20) & (F.size(F.array_distinct(w)) / F.size(w) < 0.3), "error", 0.85, "highly_repetitive"),
+        (let(words(output), lambda w: (F.size(w) > 20) & (F.size(F.array_distinct(w)) / F.size(w) < 0.3)), "error", 0.85, "highly_repetitive"),
         (instruction.contains("?") & (F.length(output) < 50) & ~has_any(low, ANSWERS), "ambiguity", 0.6, "possible_incomplete_answer"),
-        (has_any(low, DODGES), "ambiguity", 0.5, "contains_refusal"),
+        (let(low, lambda x: has_any(x, DODGES)), "ambiguity", 0.5, "contains_refusal"),
         (artifacts > 10, "error", 0.6, "excessive_artifacts"),
     ]
     made = [F.when(test, F.struct(F.lit(kind).alias("noise_type"), F.lit(sure).alias("confidence"), F.lit(why).alias("reason"))) for test, kind, sure, why in rules]

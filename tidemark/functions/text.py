@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 SPACES = r"[\x{9}-\x{d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def once(value: Column) -> Column:
+    """For ``withColumn``: a value that the optimizer neither copies into later filters nor computes again."""
+    return F.explode_outer(F.array(value))
+
+
 def words(text: Column) -> Column:
     """The words of a text; an empty array for none."""
     return F.array_remove(F.split(text, SPACES + "+"), "")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scores
-from tidemark.functions.text import words
+from tidemark.functions.text import once, words
 from tidemark.operators.base import FilterOperator, Operator, TransformOperator, Watch, unwatched
 from tidemark.schema import reorder, set_meta
 
@@ -26,7 +26,9 @@ class QualityFilter(Operator):
 
     def apply(self, df: DataFrame, watch: Watch = unwatched) -> DataFrame:
         s = F.col("meta.quality_score")
-        df = watch(set_meta(df, quality_score=self.score()), "in", avg_score=F.avg(s), min_score=F.min(s), max_score=F.max(s))
+        cols = df.columns
+        df = set_meta(df.withColumn("_q", once(self.score())), quality_score=F.col("_q")).select(*cols)
+        df = watch(df, "in", avg_score=F.avg(s), min_score=F.min(s), max_score=F.max(s))
         return watch(df.filter(F.round(s, DIGITS) >= self.threshold), "out")
 
     def measured(self, into: dict, out: dict) -> dict:
@@ -137,8 +139,8 @@ class NoiseDetector(Operator):
 
     def judged(self, df: DataFrame) -> DataFrame:
         """``df`` with ``_issues``, ``_primary`` and ``_action``."""
-        df = df.withColumn("_issues", scores.noise_issues(F.col("instruction"), F.col("output")))
-        df = df.withColumn("_primary", scores.primary_issue(F.col("_issues")))
+        df = df.withColumn("_issues", once(scores.noise_issues(F.col("instruction"), F.col("output"))))
+        df = df.withColumn("_primary", once(scores.primary_issue(F.col("_issues"))))
         act = F.lit("keep")
         for kind, what in self.actions.items():
             act = F.when(F.col("_primary.noise_type") == kind, what if what in ("remove", "flag") else "keep").otherwise(act)
