@@ -112,3 +112,18 @@ def test_edges(spark, tables):
     assert sorted(map(str, ids)) == sorted(map(str, [90001, 90002, 90003, 90004, None] * 2))
     assert quality.quality_filter(more.limit(0), labels).count() == 0
     assert quality.quality_filter(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_toxic_held_out(spark, sf):
+    larger = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.01")
+    docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.judged(docs, labels.where("doc_id % 2 = 0"), carry=["doc_id", "lang"]).select("r.doc_id", "r.lang", "keep")
+    rows = out.join(labels.where("doc_id % 2 = 1 AND quality = 1"), "doc_id").collect()
+    toxic = [r.keep for r in rows if r.toxic == 1 and r.lang == "en"]  # no other language has an insult in the tables
+    assert len(toxic) > 15 and np.mean(toxic) <= 0.1
+    assert np.mean([r.keep for r in rows if r.toxic == 0]) >= 0.97
+
+
+def test_worst_span():
+    values, offsets = np.array([1.0, -5, 2, 3, -1, 4, 4]), np.array([0, 3, 3, 6, 7])
+    assert quality.worst_span(values, offsets, 2).tolist() == [1, 0, 3, 4]

@@ -12,6 +12,11 @@ A document is rejected when its log-perplexity is beyond its language's outer fe
 the log-perplexities of all documents of the language; the quartiles adapt to the language and stay with the bulk of
 it however much junk there is up to a quarter. The score of a short text is drawn towards its language's median with
 the weight of ``PRIOR`` bytes, as a few bytes say little.
+
+The labelled toxic text of a language has a model by the same code. As a few words hardly move the mean of a document,
+its toxicity is the log of the likelihood ratio of the toxic to the trusted model over the worst ``SPAN`` bytes. It is
+rejected beyond the outer fence of the toxicity of the language's trusted documents, each scored by the model of the half of
+the trusted text that it isn't in; halves are told by the hash of the text.
 """
 
 from __future__ import annotations
@@ -31,7 +36,10 @@ from pyspark.sql import types as T
 from tidemark.llm.common import CACHES, lean, new_path, pieces, small_batches, text_bytes, written
 
 ORDER, FENCE, PRIOR, SHARD_ROWS, BROADCAST_IDS = 5, 3.0, 100, 1_500_000, 1_000_000
+SPAN = 12
 BEGIN = 2
+#: What follows a language in the names of its other models: the halves of the trusted text and the toxic text.
+HALVES, TOXIC = ("\0a", "\0b"), "\0t"
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -51,7 +59,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     z = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         packed = [z.compress(x.as_buffer()) for x in batch.column("t").cast(pa.large_binary())]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array(packed, pa.binary())], ["id", "lang", "z"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), batch.column("half"), pa.array(packed, pa.binary())], ["id", "lang", "half", "z"])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,18 +101,38 @@ def _low(g: str, n: int) -> Column:
     return F.col(g).bitwiseAND(F.lit((1 << (8 * n)) - 1))
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, n, g, lp, lb): log-probability of each n-gram and log-weight of what backs off from it as a context; either may be null."""
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, t or z, part) of the documents to learn from: part 0 or 1 for the halves of the trusted ones, 2 for toxic ones.
+
+    Copies of one text are in one half. A trusted document isn't a toxic one, whatever other labels say.
+    """
     small_batches(docs.sparkSession)
-    good = labels.where("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col(doc_id).cast("long").alias("id")).distinct()
+    trusted = F.coalesce(F.max(F.expr("quality = 1 AND coalesce(toxic, 0) = 0")), F.lit(False))
+    known = labels.select(F.col(doc_id).cast("long").alias("id"), "quality", "toxic").groupBy("id")
+    known = known.agg(trusted.alias("trusted"), F.coalesce(F.max(F.expr("toxic = 1")), F.lit(False)).alias("toxic")).where("trusted OR toxic").select("id", "trusted")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("t")).where("id IS NOT NULL AND t <> ''")
-    good = written(good, "trusted")
-    if good.count() <= BROADCAST_IDS:  # 8 bytes each; beyond that the texts are packed and shuffled
-        chosen = rows.join(F.broadcast(good), "id").select("lang", "t")
-    else:
-        chosen = rows.mapInArrow(lean(_pack), "id long, lang string, z binary").join(good, "id").select("lang", "z")
-    counts = chosen.mapInArrow(lean(_count), "lang string, g long, c long")
-    counted = written(counts.groupBy("lang", "g").agg(F.sum("c").alias("c")), "ngrams")
+    rows = rows.withColumn("half", F.pmod(F.xxhash64("t"), F.lit(2)).cast("int"))
+    known = written(known, "labelled")
+    part = F.when(F.col("trusted"), F.col("half")).otherwise(F.lit(2)).alias("part")
+    if known.count() <= BROADCAST_IDS:  # 9 bytes each; beyond that the texts are packed and shuffled
+        return rows.join(F.broadcast(known), "id").select("lang", "t", part)
+    return rows.mapInArrow(lean(_pack), "id long, lang string, half int, z binary").join(known, "id").select("lang", "z", part)
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, n, g, lp, lb): log-probability of each n-gram and log-weight of what backs off from it as a context; either may be null.
+
+    Besides each language there are the models of its halves and of its toxic text, named by ``HALVES`` and ``TOXIC``.
+    """
+    return trained(labelled(docs, labels, doc_id, text, lang))
+
+
+def trained(chosen: DataFrame) -> DataFrame:
+    name = F.concat("lang", F.element_at(F.array(*map(F.lit, (*HALVES, TOXIC))), F.col("part") + 1))
+    counts = chosen.select(name.alias("lang"), chosen.columns[1]).mapInArrow(lean(_count), "lang string, g long, c long")
+    parts = written(counts.groupBy("lang", "g").agg(F.sum("c").alias("c")), "ngrams-of-parts")
+    both = parts.where(~F.col("lang").endswith(TOXIC)).select(F.expr(f"substring(lang, 1, length(lang) - {len(TOXIC)})").alias("lang"), "g", "c")
+    counted = written(parts.unionByName(both.groupBy("lang", "g").agg(F.sum("c").alias("c"))), "ngrams")
     orders = {ORDER: counted}
     for n in range(ORDER - 1, 0, -1):  # a shorter n-gram counts once for each byte that it is found behind
         orders[n] = written(orders[n + 1].groupBy("lang", _low("g", n).alias("g")).agg(F.count("*").alias("c")), f"ngrams{n}")
@@ -177,9 +205,19 @@ class Model:
 
     def score(self, data: np.ndarray, offsets: np.ndarray, lang: np.ndarray) -> np.ndarray:
         """Sum of the log-probabilities of each row's bytes; ``lang`` numbers the rows' languages."""
-        n = len(data)
-        g = grams(data, offsets)
-        tag = np.repeat(lang.astype(np.uint64) << np.uint64(43), np.diff(offsets))
+        return by_row(self.bytewise(data, offsets, lang)[0], offsets)
+
+    def bytewise(self, data: np.ndarray, offsets: np.ndarray, *langs: np.ndarray) -> list[np.ndarray]:
+        """The log-probability of each byte for each numbering of the rows' languages; equal n-grams are looked up once."""
+        _, kind = np.unique(np.stack(langs), axis=1, return_inverse=True)
+        g = grams(data, offsets) | np.repeat(kind.reshape(-1).astype(np.uint64) << np.uint64(40), np.diff(offsets))
+        g, lead, at = np.unique(g, return_index=True, return_inverse=True)
+        row = np.searchsorted(offsets, lead, "right") - 1
+        g &= np.uint64((1 << 40) - 1)
+        return [self._known(g, lang[row].astype(np.uint64) << np.uint64(43))[at] for lang in langs]
+
+    def _known(self, g: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        n = len(g)
         total, longest = np.full(n, -np.log(256), np.float32), np.zeros(n, np.int8)
         for shard, rest in self._parts(tag, g):  # a byte is settled by the longest n-gram that is known
             for order in range(ORDER, 0, -1):
@@ -196,8 +234,25 @@ class Model:
                 of = some[longest[some] <= order]
                 back[of] += np.nan_to_num(shard.find(tag[of] | np.uint64(order << 40) | g[of] & np.uint64((1 << (8 * order)) - 1), 1))
         total[short] += back
-        sums = np.concatenate([[0.0], np.cumsum(total, dtype=np.float64)])
-        return sums[offsets[1:]] - sums[offsets[:-1]]
+        return total
+
+
+def by_row(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    return sums[offsets[1:]] - sums[offsets[:-1]]
+
+
+def worst_span(values: np.ndarray, offsets: np.ndarray, size: int = SPAN) -> np.ndarray:
+    """The greatest sum of ``size`` values in a row in each row, or of the first ones; 0 for an empty row."""
+    sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    start = np.repeat(offsets[:-1], np.diff(offsets))
+    end = np.arange(1, len(values) + 1)
+    spans = sums[end] - sums[np.maximum(end - size, start)]
+    out = np.zeros(len(offsets) - 1)
+    some = np.flatnonzero(np.diff(offsets) > 0)
+    if len(some):
+        out[some] = np.maximum.reduceat(spans, offsets[some])
+    return out
 
 
 class Shard:
@@ -260,8 +315,23 @@ def _shard(path: str, k: int, langs: tuple[str, ...]) -> Shard:
 CACHES["model"] = _shard.cache_clear
 
 
+def _scores(model: Model, data: np.ndarray, offsets: np.ndarray, names: list[str], trusted: list[str]) -> list[pa.Array]:
+    """[bytes, log-likelihood of each row by the model that ``trusted`` names, worst span of the toxic text's
+    likelihood ratio against it]; null where there is no model or text."""
+    size = np.diff(offsets)
+    good, bad = (np.array([model.langs.get(x, -1) for x in of], np.int64) for of in (trusted, [x + TOXIC for x in names]))
+    ll, ratio = np.zeros(len(size)), np.zeros(len(size))
+    for lo, hi in pieces(offsets, 500_000 if model.shards < 3 else 2_000_000):
+        at = offsets[lo : hi + 1] - offsets[lo]
+        p, q = model.bytewise(data[offsets[lo] : offsets[hi]], at, np.maximum(good[lo:hi], 0), np.maximum(bad[lo:hi], 0))
+        ll[lo:hi], ratio[lo:hi] = by_row(p, at), worst_span(q - p, at)
+    none = (good < 0) | (size == 0)
+    return [pa.array(size), pa.array(ll, mask=none), pa.array(ratio, mask=none | (bad < 0))]
+
+
 def scored(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (all by default) of ``docs`` in a struct ``r`` with the language ``l``, bytes ``nb`` and sum of log-probabilities ``ll``; null where there is no model or text."""
+    """The columns ``carry`` (all by default) of ``docs`` in a struct ``r`` with the language ``l``, bytes ``nb``, sum of
+    log-probabilities ``ll`` and toxicity ``tox``; null where there is no model or text."""
     small_batches(docs.sparkSession)
     carry = carry or docs.columns
     inside = text in carry  # then the text travels once
@@ -271,42 +341,68 @@ def scored(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang"
         for batch in batches:
             r = batch.column("r")
             data, offsets = text_bytes(r.field(carry.index(text)) if inside else batch.column("t"))
-            langs = np.array([model.langs.get(x, -1) for x in batch.column("l").to_pylist()], np.int64)
-            size = np.diff(offsets)
-            ll = np.zeros(batch.num_rows)
-            for lo, hi in pieces(offsets, 500_000 if model.shards < 3 else 2_000_000):
-                at = offsets[lo : hi + 1]
-                ll[lo:hi] = model.score(data[at[0] : at[-1]], at - at[0], np.maximum(langs[lo:hi], 0))
-            none = (langs < 0) | (size == 0)
-            yield pa.RecordBatch.from_arrays([r, batch.column("l"), pa.array(size), pa.array(ll, mask=none)], ["r", "l", "nb", "ll"])
+            names = batch.column("l").to_pylist()
+            yield pa.RecordBatch.from_arrays([r, batch.column("l"), *_scores(model, data, offsets, names, names)], ["r", "l", "nb", "ll", "tox"])
             del batch, r, data
 
-    schema = T.StructType([*rows.select("r", "l").schema.fields, T.StructField("nb", T.LongType()), T.StructField("ll", T.DoubleType())])
+    schema = T.StructType([*rows.select("r", "l").schema.fields, T.StructField("nb", T.LongType()), T.StructField("ll", T.DoubleType()), T.StructField("tox", T.DoubleType())])
     return rows.mapInArrow(lean(run, keep="model"), schema)
 
 
+def held_out(chosen: DataFrame, model: Model) -> DataFrame:
+    """(l, nb, ll, tox) of the trusted documents, each scored by the model of the half that it isn't in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        z = zstandard.ZstdDecompressor()
+        for batch in batches:
+            texts = batch.column(1)
+            if texts.type == pa.binary():
+                texts = pa.array([z.decompress(x.as_buffer()) for x in texts], pa.large_binary())
+            data, offsets = text_bytes(texts.cast(pa.large_binary()).cast(pa.large_string()))
+            names = batch.column("lang").to_pylist()
+            other = [x + HALVES[1 - half] for x, half in zip(names, batch.column("part").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), *_scores(model, data, offsets, names, other)], ["l", "nb", "ll", "tox"])
+
+    return chosen.where("part < 2").mapInArrow(lean(run, keep="model"), "l string, nb long, ll double, tox double")
+
+
+def _by_language(values: dict[str, float | None]) -> Column:
+    """A number for each language."""
+    out = F.lit(None).cast("double")
+    for name, value in values.items():
+        if value is not None:
+            out = F.when(F.col("l") == name, F.lit(float(value))).otherwise(out)
+    return out
+
+
+def _fence(table: DataFrame, column: str, fence: float) -> Column:
+    """The outer fence of each language's values of a column."""
+    q = table.where(F.col(column).isNotNull()).groupBy("l").agg(F.percentile_approx(column, F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias("q"))
+    return _by_language({r.l: r.q[1] + fence * (r.q[1] - r.q[0]) for r in q.toLocalIterator()})
+
+
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fence: float = FENCE, carry: list[str] | None = None) -> DataFrame:
-    """(r, perplexity, score, threshold, keep) for every row of ``docs``, r the row or its columns ``carry``.
+    """(r, perplexity, score, threshold, toxicity, toxic_threshold, keep) for every row of ``docs``, r the row or its columns ``carry``.
 
     Kept without a score: a null or empty text, and a language without trusted text (a null language is one of its
     own). Labels with null values aren't trusted; a document with several labels is trusted if one of them says so.
     Repeated rows are each scored. Empty tables give an empty one, and without labels every row is kept. Texts are
-    scored to their end.
+    scored to their end. A language without toxic labels has no toxicity.
     """
-    model = Model(train(docs, labels, doc_id, text, lang))
+    chosen = labelled(docs, labels, doc_id, text, lang)
+    model = Model(trained(chosen))
+    sample = written(held_out(chosen, model), "held-out")
     table = written(scored(docs, model, text, lang, carry).withColumn("h", -F.col("ll") / F.col("nb")), "scored")
-    middle = table.where("h IS NOT NULL").groupBy("l").agg(F.percentile_approx("h", F.array(F.lit(0.5)), F.lit(10_000)).alias("q")).select("l", F.col("q")[0].alias("mid"))
-    mids = {r.l: r.mid for r in middle.toLocalIterator()}  # a number for each language
-    mid = F.lit(None).cast("double")
-    for name, value in mids.items():
-        mid = F.when(F.col("l") == name, F.lit(float(value))).otherwise(mid)
-    drawn = (-F.col("ll") + PRIOR * mid) / (F.col("nb") + PRIOR)
-    table = table.withColumn("s", drawn)
-    q = table.where("s IS NOT NULL").groupBy("l").agg(F.percentile_approx("s", F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias("q"))
-    limit = F.lit(None).cast("double")
-    for r in q.toLocalIterator():
-        limit = F.when(F.col("l") == r.l, F.lit(float(r.q[1] + fence * (r.q[1] - r.q[0])))).otherwise(limit)
-    return table.select("r", F.exp("h").alias("perplexity"), F.exp("s").alias("score"), F.exp(limit).alias("threshold"), F.coalesce(F.col("s") <= limit, F.lit(True)).alias("keep"))
+    toxic_limit = _fence(sample, "tox", fence)
+    middle = table.where("h IS NOT NULL").groupBy("l").agg(F.percentile_approx("h", F.lit(0.5), F.lit(10_000)).alias("mid"))
+    mid = _by_language({r.l: r.mid for r in middle.toLocalIterator()})
+    table = table.withColumn("s", (-F.col("ll") + PRIOR * mid) / (F.col("nb") + PRIOR))
+    limit = _fence(table, "s", fence)
+    clean = F.coalesce(F.col("tox") <= toxic_limit, F.lit(True))
+    return table.select(
+        "r", F.exp("h").alias("perplexity"), F.exp("s").alias("score"), F.exp(limit).alias("threshold"), F.col("tox").alias("toxicity"), toxic_limit.alias("toxic_threshold"),
+        (F.coalesce(F.col("s") <= limit, F.lit(True)) & clean).alias("keep"),
+    )
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fence: float = FENCE) -> DataFrame:
