@@ -127,3 +127,20 @@ def test_toxic_held_out(spark, sf):
 def test_worst_span():
     values, offsets = np.array([1.0, -5, 2, 3, -1, 4, 4]), np.array([0, 3, 3, 6, 7])
     assert quality.worst_span(values, offsets, 2).tolist() == [1, 0, 3, 4]
+
+
+def test_threshold_ignores_the_share_of_junk(spark, sf):
+    larger = os.path.join(os.path.dirname(sf.rstrip("/")), "sf0.01")
+    docs, labels = (spark.read.parquet(f"{larger}/{t}.parquet") for t in ("documents", "labels"))
+    good = labels.where("quality = 1 AND toxic = 0")
+    docs = docs.where("lang = 'en'").select("doc_id", F.substring("text", 1, 1500).alias("text"), "lang")
+    clean = docs.join(good, "doc_id", "left_semi")
+    n, limits = clean.count(), []
+    for share in (0.1, 0.3, 0.6):
+        junk = round(n * share / (1 - share))
+        bad = spark.range(junk).select((F.col("id") + 10**6).alias("doc_id"), F.concat(F.lit("zq### x%%% "), F.repeat(F.concat(F.hex(F.xxhash64("id")), F.lit("$$$ ")), 30)).alias("text"), F.lit("en").alias("lang"))
+        rows = quality.judged(clean.unionByName(bad), good, carry=["doc_id"]).select("r.doc_id", "threshold", "keep").collect()
+        limits.append(rows[0].threshold)
+        assert np.mean([r.keep for r in rows if r.doc_id >= 10**6]) <= 0.05
+        assert np.mean([r.keep for r in rows if r.doc_id < 10**6]) >= 0.97
+    assert max(limits) - min(limits) < 1e-9

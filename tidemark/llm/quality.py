@@ -9,14 +9,13 @@ another by hashed look-up, so documents are never shuffled for it and a task's m
 size. The score is perplexity per byte.
 
 A document is rejected when its log-perplexity is beyond its language's outer fence, ``Q75 + FENCE * (Q75 - Q25)`` of
-the log-perplexities of all documents of the language; the quartiles adapt to the language and stay with the bulk of
-it however much junk there is up to a quarter. The score of a short text is drawn towards its language's median with
-the weight of ``PRIOR`` bytes, as a few bytes say little.
+the log-perplexities of the language's trusted documents, each scored by the model of the half of the trusted text that
+it isn't in; so the fence doesn't move with the share of junk. Halves are told by the hash of the text. The score of a
+short text is drawn towards the median of those documents with the weight of ``PRIOR`` bytes, as a few bytes say little.
 
 The labelled toxic text of a language has a model by the same code. As a few words hardly move the mean of a document,
 its toxicity is the log of the likelihood ratio of the toxic to the trusted model over the worst ``SPAN`` bytes. It is
-rejected beyond the outer fence of the toxicity of the language's trusted documents, each scored by the model of the half of
-the trusted text that it isn't in; halves are told by the hash of the text.
+rejected beyond the outer fence of the toxicity of the same documents, scored in the same way.
 """
 
 from __future__ import annotations
@@ -394,10 +393,10 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     sample = written(held_out(chosen, model), "held-out")
     table = written(scored(docs, model, text, lang, carry).withColumn("h", -F.col("ll") / F.col("nb")), "scored")
     toxic_limit = _fence(sample, "tox", fence)
-    middle = table.where("h IS NOT NULL").groupBy("l").agg(F.percentile_approx("h", F.lit(0.5), F.lit(10_000)).alias("mid"))
+    middle = sample.where("ll IS NOT NULL").groupBy("l").agg(F.percentile_approx(-F.col("ll") / F.col("nb"), F.lit(0.5), F.lit(10_000)).alias("mid"))
     mid = _by_language({r.l: r.mid for r in middle.toLocalIterator()})
-    table = table.withColumn("s", (-F.col("ll") + PRIOR * mid) / (F.col("nb") + PRIOR))
-    limit = _fence(table, "s", fence)
+    drawn = (-F.col("ll") + PRIOR * mid) / (F.col("nb") + PRIOR)
+    table, limit = table.withColumn("s", drawn), _fence(sample.withColumn("s", drawn), "s", fence)
     clean = F.coalesce(F.col("tox") <= toxic_limit, F.lit(True))
     return table.select(
         "r", F.exp("h").alias("perplexity"), F.exp("s").alias("score"), F.exp(limit).alias("threshold"), F.col("tox").alias("toxicity"), toxic_limit.alias("toxic_threshold"),
