@@ -97,3 +97,10 @@ def test_tables(spark, sf):
     out = W.extract_pages(real).collect()
     assert len(out) == real.count() and all(r.text for r in out)
     assert not any("track(" in f.value or "margin" in f.value for r in out for f in r.fields)
+
+
+def test_copies_of_one_page_are_a_lone_page(spark):
+    html = "<html><body><h1>Title</h1><ul><li>a</li><li>b</li></ul><p>Some words of text.</p></body></html>"
+    rows = [(1, "http://one.example/a", html)] + [(k, f"http://many.example/{k}", html) for k in range(2, 9)]
+    out = {r.page_id: (r.text, r.fields) for r in W.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert len(out) == 8 and out[1][0] and all(v == out[1] for v in out.values())

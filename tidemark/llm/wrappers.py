@@ -15,6 +15,7 @@ with their host's wrapper for extraction; a host with many pages is a skewed key
 from __future__ import annotations
 
 import html
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -277,60 +278,62 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, list] = {}
 
     def give() -> pa.RecordBatch:
-        rows = [(h, n, json.dumps(tidy(w))) for h, (n, w) in held.items()]
+        rows = [(h, n, json.dumps(tidy(w)), key) for h, (n, w, key) in held.items()]
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], ["host", "pages", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.binary())], ["host", "pages", "wrapper", "key"])
 
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html")):
-            nodes = nodes_of(page.as_py())
+            nodes, key = nodes_of(page.as_py()), hashlib.md5(page.as_buffer()).digest()
             if host not in held:
                 if len(held) >= HOSTS_AT_ONCE:
                     yield give()
-                held[host] = [1, tidy(nodes)]
+                held[host] = [1, tidy(nodes), key]  # the key of all pages while they are copies of one
             else:
                 of = held[host]
                 of[0] += 1
                 of[1] = align(of[1], nodes)
+                of[2] = key if of[2] == key else None
     if held:
         yield give()
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial wrappers sorted by host: one for each host."""
-    host, pages, wrapper = None, 0, None
+    host, pages, wrapper, key = None, 0, None, None
 
     def row() -> pa.RecordBatch:
         done = tidy(wrapper)
         areas = regions(done)
         main = max(sorted(areas), key=areas.get) if areas else None
-        return pa.RecordBatch.from_arrays([pa.array([host]), pa.array([pages], pa.int64()), pa.array([json.dumps(done)]), pa.array([main], pa.string())], ["host", "pages", "wrapper", "main"])
+        return pa.RecordBatch.from_arrays([pa.array([host]), pa.array([pages], pa.int64()), pa.array([json.dumps(done)]), pa.array([main], pa.string()), pa.array([key is not None])], ["host", "pages", "wrapper", "main", "alike"])
 
     for batch in batches:
-        for h, n, w in zip(*(batch.column(c).to_pylist() for c in ("host", "pages", "wrapper"))):
+        for h, n, w, k in zip(*(batch.column(c).to_pylist() for c in ("host", "pages", "wrapper", "key"))):
             if h == host:
-                pages, wrapper = pages + n, align(wrapper, json.loads(w))
+                pages, wrapper, key = pages + n, align(wrapper, json.loads(w)), key if key == k else None
             else:
                 if host is not None:
                     yield row()
-                host, pages, wrapper = h, n, json.loads(w)
+                host, pages, wrapper, key = h, n, json.loads(w), k
     if host is not None:
         yield row()
 
 
 def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
-    """(host, pages, wrapper, main) for each host: number of pages, the wrapper as JSON, the part of the page with most data."""
+    """(host, pages, wrapper, main, alike) for each host: number of pages, the wrapper as JSON, the part of the page with
+    most data, and whether all pages are copies of one."""
     small_batches(pages.sparkSession)
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("html")).where("html <> ''")
-    partial = rows.mapInArrow(lean(_partial), "host string, pages long, wrapper string")
-    return partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(lean(_whole), "host string, pages long, wrapper string, main string")
+    partial = rows.mapInArrow(lean(_partial), "host string, pages long, wrapper string, key binary")
+    return partial.repartition("host").sortWithinPartitions("host", "wrapper").mapInArrow(lean(_whole), "host string, pages long, wrapper string, main string, alike boolean")
 
 
 def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """(page_id, host, text, fields): the data of every page by its host's wrapper.
 
     ``fields`` has (path, value) of each slot in the page's order; ``text`` is those of the host's main part, a line
-    each. On a host with one page there is nothing to compare, so every text is data. A null or empty page has a null
+    each. On a host with one page, however many copies, or without a slot there is nothing to compare, so every text is data. A null or empty page has a null
     text and no fields; pages without a host are one host; null ids and repeated rows are kept; an empty table gives an
     empty one; malformed markup is text or is skipped, never an error. Pages are read whole. Other columns are not read.
     """
@@ -342,7 +345,7 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         known: dict[str, tuple] = {}
         for batch in batches:
             texts, fields = [], []
-            for host, raw, n, w, main in zip(batch.column("host").to_pylist(), batch.column("html"), *(batch.column(c).to_pylist() for c in ("pages", "wrapper", "main"))):
+            for host, raw, alike, w, main in zip(batch.column("host").to_pylist(), batch.column("html"), *(batch.column(c).to_pylist() for c in ("alike", "wrapper", "main"))):
                 if w is None:
                     texts.append(None)
                     fields.append([])
@@ -351,8 +354,9 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
                     if len(known) > 200:
                         known.clear()
                     known[host] = json.loads(w)
-                found = extract(known[host], nodes_of(raw.as_py()), every=n < 2)
-                if n < 2:
+                lone = alike or main is None
+                found = extract(known[host], nodes_of(raw.as_py()), every=lone)
+                if lone:
                     sizes: dict[str, int] = {}
                     for p, v in found:
                         key = "/".join(p.split("/")[:3])
