@@ -289,3 +289,17 @@ def test_document_streams(spark, sf):
     out = media.media_info(table, "k").collect()
     assert sorted((str(r.k), r.n_frames) for r in out) == [("1", 3), ("1", 3), ("2", 0), ("None", 0)]
     assert media.media_info(table.limit(0), "k").collect() == []
+
+
+def test_tokens_of_long_runs(spark):
+    of = Tokens(spark)
+    plain, mine = of.encoding().encode_ordinary, of.encoder()
+    for gap in (" ", "\n", "　", "\r\n \t"):
+        run = gap * (20_000 // len(gap))
+        for text in (run, "a" + run, run + "b", f"x{run}y z {run} 1{run}", f"a{run}\x1cb", f"{run}!"):
+            assert mine(text) == plain(text)
+    long = "\n" * 3_000_000 + " " * 2_000_000
+    docs = spark.createDataFrame([(1, long), (2, "w" + long + "w"), (3, "short")], "doc_id long, text string")
+    packed = packing.pack(docs).groupBy("doc_id").agg({"n_tokens": "sum"}).collect()
+    index = records.write_records(docs).collect()
+    assert {r[0]: r[1] for r in packed} == {r.doc_id: r.n_tokens for r in index} and len(index) == 3

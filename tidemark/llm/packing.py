@@ -105,7 +105,7 @@ def token_counts(docs: DataFrame, doc_id: str, text: str, folder: str, name: str
     tokens = Tokens(docs.sparkSession, folder, name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoding().encode_ordinary
+        encode = tokens.encoder()
         for batch in batches:
             n = [len(encode(x.as_py())) for x in batch.column("t")]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("x"), pa.array(n, pa.int64())], ["id", "x", "n"])
@@ -118,8 +118,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", text
     """(bin_id, bin_offset, doc_id, chunk, token_start, n_tokens): every token of ``docs`` in a place of its own.
 
     Chunks of a document are numbered from 0. A null or empty text has no tokens and no row; a null id stays null;
-    repeated rows are packed each; ties among equal lengths are broken by hash, id and chunk. An empty table gives an
-    empty one. Columns other than the two are never read. ``doc_id`` must be an integer.
+    repeated rows are packed each; ties among equal lengths are broken by hash, id and chunk. A text
+    of any length is divided, runs of white space too. An empty table gives an empty one. Columns other than the two are never read. ``doc_id`` must be an integer.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")

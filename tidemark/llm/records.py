@@ -21,7 +21,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lean, new_path, small_batches
+from tidemark.llm.common import lean, small_batches, work_dir
 from tidemark.llm.tokens import TOKENIZERS, VOCABULARY, Tokens
 
 BLOCK = 64
@@ -128,21 +128,22 @@ def read_record(raw: bytes, kind: str = "<u2") -> tuple[int, np.ndarray]:
 
 
 def write_records(docs: DataFrame, path: str | None = None, doc_id: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = VOCABULARY) -> DataFrame:
-    """Writes ``docs`` as records under ``path`` (by default a new folder in the cluster's shared one) and returns the
-    index: (doc_id, shard, offset, length, n_tokens), length with the frame.
+    """Writes ``docs`` as records under ``path`` (by default a new folder in the cluster's shared one; it stays there when
+    the session ends) and returns the index: (doc_id, shard, offset, length, n_tokens), length with the frame.
 
     A null text has no record, an empty one a record without tokens; a null id is written as -2**63 and is null in the
-    index; repeated rows have a record each; an empty table has no shards. Texts are encoded whole. Columns other
+    index; repeated rows have a record each; an empty table has no shards. Texts are encoded whole, however long
+    they or their runs of white space are. Columns other
     than the two are never read. ``doc_id`` must be an integer.
     """
     spark = docs.sparkSession
     small_batches(docs.sparkSession)
-    path = path or new_path(spark, "records")
+    path = path or f"{work_dir(spark)}/records-{uuid.uuid4().hex}"
     tokens = Tokens(spark, folder, name)
     kind = "<u2" if tokens.size <= 1 << 16 else "<u4"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoding().encode_ordinary
+        encode = tokens.encoder()
         fs, root = pafs.FileSystem.from_uri(path)
         shard, out, at = f"shard-{uuid.uuid4().hex}.bin", None, 0
         try:
