@@ -85,11 +85,71 @@ def test_many_copies_with_one_label(spark):
 def test_regions_reach_every_close_pair():
     rng = np.random.default_rng(1)
     label = np.sort(rng.integers(0, 3, (400, 8)).astype(np.uint32).view([("", np.uint32)] * 8).ravel()).view(np.uint32).reshape(400, 8)
-    i, j, large = minhash.regions(np.zeros(400, np.int32), label)
+    i, j, large = minhash.regions(label)
     pairs = set(zip(i.tolist(), j.tolist()))
     assert all((k, k + 1) in pairs for k in range(399) if label[k, 0] == label[k + 1, 0])
     assert all(j - i < minhash.LEAF for i, j in pairs)
-    assert all((label[a:b] == label[a]).all() for a, b in large)
+    for a, b, d in large:
+        assert b - a > minhash.LEAF and (label[a:b, :d] == label[a, :d]).all()
+    for a in range(400):  # a pair is in a leaf, or in a region that is large at every depth it shares
+        for b in range(a + 1, min(400, a + 40)):
+            d = int(np.argmin(np.append(label[a] == label[b], False)))
+            if d and (a, b) not in pairs:
+                assert ((label[:, :d] == label[a, :d]).all(axis=1)).sum() > minhash.LEAF
+
+
+def star(size, keep, seed, words=260):
+    """A document and copies of it that were edited apart from one another: few pairs but those with it are near."""
+    rng = random.Random(seed)
+    w = [f"s{seed}x{k}" for k in range(words)]
+    rows = [" ".join(w)]
+    for k in range(size):
+        spans = [w[i : i + 13] for i in range(0, words, 13)]
+        out = [x if rng.random() < keep else [f"n{seed}y{k}z{rng.random()}" for _ in x] for x in spans]
+        rows.append(" ".join(sum(out, [])))
+    return rows
+
+
+def test_copies_that_are_near_their_original_only(spark):
+    rows, of = [], []
+    for seed, size in enumerate((30, 100, 600, 2500)):
+        made = star(size, 0.78, seed)
+        of += [(len(rows), len(rows) + k) for k in range(1, len(made))]
+        rows += made
+    order = list(range(len(rows)))
+    random.Random(5).shuffle(order)
+    docs = spark.createDataFrame([(order[k], t) for k, t in enumerate(rows)], "doc_id long, text string").repartition(4, "doc_id")
+    got = groups_of(minhash.near_duplicates(docs).collect())
+    sets = [shingle_set(t) for t in rows]
+    close = [(a, b) for a, b in of if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.5]
+    assert len(close) > 1500
+    for first in {a for a, _ in close}:
+        mine = [(a, b) for a, b in close if a == first]
+        assert np.mean([got.get(order[a], -1) == got.get(order[b], -2) for a, b in mine]) >= 0.9
+
+
+def test_hot_region_is_linear_and_may_be_cut():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n = 60_000
+    label = np.zeros((n, 8), np.uint32)
+    label[:, 1:] = rng.integers(0, 40, (n, 7))
+    low = rng.integers(0, 256, (n, 128)).astype(np.uint8)
+    twin = rng.permutation(n)[:2000].reshape(-1, 2)  # pairs that share seven bytes of eight
+    for a, b in twin:
+        label[b] = label[a]
+        low[b] = np.where(rng.random(128) < 0.9, low[a], low[b])
+    order = np.lexsort(label.T[::-1])
+
+    def batches():
+        for i in range(0, n, 5000):
+            o = order[i : i + 5000]
+            yield pa.RecordBatch.from_arrays([pa.array(o), pa.array(np.zeros(len(o), np.int32)), minhash._fixed(label[o].astype(">u4")), minhash._fixed(low[o])], ["node", "tree", "label", "low"])
+
+    found = [{(a, b) for x in minhash._pairs(batches(), 0.5, block) for a, b in zip(x.column(0).to_pylist(), x.column(1).to_pylist())} for block in (7000, 100_000)]
+    want = {(min(a, b), max(a, b)) for a, b in twin.tolist()}
+    assert want <= found[0] and want <= found[1]
 
 
 def test_components(spark):
