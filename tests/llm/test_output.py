@@ -5,6 +5,7 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 import pytest
 
@@ -13,14 +14,18 @@ from tidemark.llm.tokens import Tokens
 
 
 def normal_words(text):
-    return [(m.group().lower(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
+    return [(m.group().casefold(), m.start(), m.end()) for m in re.finditer(r"[^\W_]+", text)]
 
 
 def brute_passages(docs, items, n=decontaminate.NGRAM):
     out = set()
     for item, t in items:
         iw = [w for w, *_ in normal_words(t)]
-        if len(iw) < decontaminate.SHORTEST:
+        if len(iw) < decontaminate.SHORTEST:  # only as a whole text
+            for row, text in enumerate(docs):
+                w = normal_words(text or "")
+                if iw and [x for x, *_ in w] == iw:
+                    out.add((row, item, w[0][1], w[-1][2]))
             continue
         size = min(n, len(iw))
         grams = {tuple(iw[i : i + size]) for i in range(len(iw) - size + 1)}
@@ -53,7 +58,7 @@ def test_passages_equal_brute_force(spark, sf):
         rows.append((10_000 + k, f"Été déjà — {part.upper().replace(' ', ' *** ')}; fin. {part}"))
     rows += [(20_000, None), (20_001, ""), (None, items[0][1]), (20_002, items[1][1] * 2000), (20_003, items[2][1]), (20_003, items[2][1])]
     items += [(900, "Yes."), (901, "one two three four"), (902, None), (903, items[0][1]), (None, items[0][1])]
-    rows.append((20_004, "She said: One, two, THREE four!"))
+    rows += [(20_004, "She said: One, two, THREE four!"), (20_005, " «YES»! "), (20_006, "yes, yes")]
     got = decontaminate.contamination(spark.createDataFrame([(i, t, "q") for i, t in rows], "doc_id long, text string, item string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     want = {(rows[r][0], item, s, e) for r, item, s, e in brute_passages([t for _, t in rows], [x for x in items if x[1]])}
     assert {tuple(r) for r in got} == want and want
@@ -65,8 +70,9 @@ def test_filter_and_parts(spark, monkeypatch):
     items = [(k, " ".join(f"b{rng.randrange(500)}" for _ in range(20))) for k in range(30)]
     rows = [(k, items[k][1] if k % 3 == 0 else f"clean text number {k} " * 9, k) for k in range(30)] + [(99, None, 1), (98, "", 1)]
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string, text_ long"), spark.createDataFrame(items, "item_id long, text string")
-    for size in (decontaminate.PART_CHARS, 300):
-        monkeypatch.setattr(decontaminate, "PART_CHARS", size)
+    for size, one in ((decontaminate.PART_WORDS, decontaminate.ONE_LETTER), (60, 5)):
+        monkeypatch.setattr(decontaminate, "PART_WORDS", size)
+        monkeypatch.setattr(decontaminate, "ONE_LETTER", one)
         out = decontaminate.decontaminate(docs, bench)
         assert out.columns == docs.columns and {r.doc_id for r in out.collect()} == {r[0] for r in rows if r[0] >= 98 or r[0] % 3}
         assert {r.doc_id for r in decontaminate.contamination(docs, bench).collect()} == {k for k in range(0, 30, 3)}
@@ -74,6 +80,53 @@ def test_filter_and_parts(spark, monkeypatch):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == len(rows)
 
 
+PASSAGES = [
+    "The quick brown fox jumps over the lazy dog today",
+    "Съешь же ещё этих мягких французских булок да выпей чаю",
+    "Ξεσκεπάζω την ψυχοφθόρα βδελυγμία και άλλες τέτοιες λέξεις εδώ τώρα",
+    "Une phrase déjà très élaborée où naïveté et œuvre près du cœur",
+    "人人生而自由在尊严和权利上一律平等他们赋有理性和良心",
+    "吾輩は猫である名前はまだ無いどこで生れたか頓と見当がつかぬ",
+    "Große Straße und weiße Füße im Maß des Spaßes heute",
+]
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_passages_in_any_script(monkeypatch, wide):
+    import unicodedata
+
+    if wide:
+        monkeypatch.setattr(decontaminate, "ONE_LETTER", 3)
+    changes = [
+        lambda t: t, str.upper, lambda t: t.replace(" ", "\u00a0"), lambda t: t.replace(" ", " — "), lambda t: unicodedata.normalize("NFD", t),
+        lambda t: "“" + t.replace(" ", "” «") + "»", lambda t: t.replace("fi", "ﬁ").replace(" ", "…"), lambda t: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in t),
+    ]
+    made = decontaminate.Patterns(list(enumerate(PASSAGES)) + [(100, "Да."), (101, "好"), (102, "")])
+    texts, want = [], set()
+    for k, t in enumerate(PASSAGES):
+        for change in changes:
+            x, before = change(t), "̀ÉTÉ 中 x: "
+            texts.append(before + x + "\t. Конец")
+            inner = [i for i, c in enumerate(x) if unicodedata.category(c)[0] in "LNM"]
+            want.add((len(texts) - 1, k, len(before) + inner[0], len(before) + inner[-1] + 1))
+    texts += ["", "ДА!", "так да", "“好”", "好好", None, "\ud7ff ok"]
+    want |= {(len(texts) - 6, 100, 0, 2), (len(texts) - 4, 101, 1, 2)}
+    spans = {}
+    for row, item, s, e in made.matches(pa.array(texts)):
+        of = spans.setdefault((row, item), [s, e])
+        of[0], of[1] = min(of[0], s), max(of[1], e)
+    assert {(r, i, s, e) for (r, i), (s, e) in spans.items()} == want
+
+
+def test_long_texts_of_any_script():
+    made = decontaminate.Patterns([(1, PASSAGES[1]), (2, PASSAGES[4])])
+    text = ("слово " * 90_000 + PASSAGES[1].upper() + " " + "好" * 200_000 + PASSAGES[4]) * 2
+    found = {(i, text[s:e].casefold() in (PASSAGES[1] + PASSAGES[4]).casefold()) for _, i, s, e in made.matches(pa.array([text]))}
+    assert found == {(1, True), (2, True)}
+    broken = pa.array([b"\xff\xfe " + PASSAGES[0].encode() + b" \xc3"]).cast(pa.binary()).view(pa.string())
+    assert decontaminate.Patterns([(1, PASSAGES[0])]).matches(broken).__next__()[:2] == (0, 1)
+
+
 def one_by_one(lengths, capacity):
     """Best-fit decreasing, a chunk at a time, over a plain list of bins."""
     room, bins = [], []
