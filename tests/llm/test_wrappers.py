@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tidemark.llm import wrappers
 from tidemark.llm import wrappers as W
 
 
@@ -104,3 +105,104 @@ def test_copies_of_one_page_are_a_lone_page(spark):
     rows = [(1, "http://one.example/a", html)] + [(k, f"http://many.example/{k}", html) for k in range(2, 9)]
     out = {r.page_id: (r.text, r.fields) for r in W.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
     assert len(out) == 8 and out[1][0] and all(v == out[1] for v in out.values())
+
+
+def longest_common(x, y):
+    row = [0] * (len(y) + 1)
+    for a in x:
+        last = 0
+        for k, b in enumerate(y, 1):
+            last, row[k] = row[k], last + 1 if a == b else max(row[k], row[k - 1])
+    return row[-1]
+
+
+def test_matching_against_longest_common_subsequences():
+    import random
+
+    rng = random.Random(1)
+    share = []
+    for n in range(300):
+        x = [rng.choice("abcdefghijklmnopqrst"[: rng.choice((2, 8, 20))]) for _ in range(rng.randrange(0, 40))]
+        y = [c for c in x if rng.random() < 0.8] + [rng.choice("abcxyz") for _ in range(rng.randrange(0, 5))]
+        found = wrappers.matching(x, y)
+        assert all(x[i : i + k] == y[j : j + k] and k for i, j, k in found)
+        assert all(a + k <= b and c + k <= d for (a, c, k), (b, d, _) in zip(found, found[1:]))
+        best = longest_common(x, y)
+        if best:
+            share.append(sum(k for *_, k in found) / best)
+        if x == y:
+            assert found == ([(0, 0, len(x))] if x else [])
+    assert sum(share) / len(share) > 0.9
+
+
+def test_large_unlike_and_deep_pages():
+    import random
+    import time
+
+    rng = random.Random(2)
+    tags = "div p span a b i ul li table tr td h1 h2 section".split()
+    page = lambda: "".join(f"<{t} class=c{rng.randrange(9)}>x{rng.randrange(99)}" + (f"</{t}>" if rng.random() < 0.9 else "") for t in rng.choices(tags, k=9500))
+    a, b = page(), page()
+    assert len(a) > 180_000
+    began = time.perf_counter()
+    w = wrappers.tidy(wrappers.align(wrappers.tidy(wrappers.nodes_of(a)), wrappers.nodes_of(b)))
+    wrappers.extract(w, wrappers.nodes_of(b))
+    assert time.perf_counter() - began < 20
+    deep = ["<ul><li>one</li><li>" * n + f"end{n}" + "</li></ul>" * n for n in (5000, 4000)]
+    w = wrappers.tidy(wrappers.align(wrappers.tidy(wrappers.nodes_of(deep[0])), wrappers.nodes_of(deep[1])))
+    assert "end4000" in [v for _, v in wrappers.extract(w, wrappers.nodes_of(deep[1]))]
+    began = time.perf_counter()
+    wrappers.nodes_of('<a href="' * 20_000), wrappers.nodes_of("<script" * 20_000), wrappers.nodes_of("<a b='" * 20_000 + ">")
+    assert time.perf_counter() - began < 2
+
+
+def as_regex(wrapper):
+    """A wrapper as a regular expression over a page's tags and texts, each as one line."""
+    import re
+
+    out, k = "", 0
+    while k < len(wrapper):
+        end = k + 1
+        while wrapper[k][2] and end < len(wrapper) and wrapper[end][2] == wrapper[k][2]:
+            end += 1
+        part = ""
+        for kind, value, _, _, body in wrapper[k:end]:
+            if kind == "r":
+                part += f"(?:{as_regex([n[:2] + [0] + n[3:] if i in (0, len(body[0]) - 1) else n for i, n in enumerate(body[0])])})+"
+            else:
+                part += "t[^\\n]*\\n" if kind == "s" else re.escape(f"{kind}{value}\n")
+        out += f"(?:{part})?" if wrapper[k][2] else part
+        k = end
+    return out
+
+
+def constants(nodes):
+    for n in nodes:
+        if n[0] == "t":
+            yield n[1]
+        elif n[0] == "r":
+            yield from constants(n[4][0])
+
+
+def test_every_page_matches_its_wrapper_as_a_regular_expression():
+    import random
+    import re
+
+    rng = random.Random(7)
+    for _ in range(60):
+        labels = [f"L{k}" for k in range(5)]
+
+        def page():
+            rows = "".join(f"<li><b>{labels[0]}</b>{rng.random()}" + ("<i>new</i>" if rng.random() < 0.3 else "") + "</li>" for _ in range(rng.randrange(1, 5)))
+            side = f"<aside><h2>{labels[1]}</h2><p>{rng.random()}</p></aside>" if rng.random() < 0.5 else ""
+            return f"<html><body><h1>{rng.random()}</h1>{side}<ul>{rows}</ul>" + (f"<p>{rng.random()}</p>" * rng.randrange(1, 4)) + f"<footer>{labels[2]}</footer></body></html>"
+
+        pages = [wrappers.nodes_of(page()) for _ in range(rng.randrange(2, 9))]
+        w = wrappers.tidy(pages[0])
+        for p in pages[1:]:
+            w = wrappers.align(w, p)
+        w = wrappers.tidy(w)
+        rule, fixed = re.compile(as_regex(w)), set(constants(w))
+        for p in pages:
+            assert rule.fullmatch("".join(f"{n[0]}{n[1]}\n" for n in p))
+            assert [v for _, v in wrappers.extract(w, p)] == [n[1] for n in p if n[0] == "t" and n[1] not in fixed]

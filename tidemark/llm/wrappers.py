@@ -18,8 +18,10 @@ import html
 import hashlib
 import json
 import re
+import sys
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,9 +29,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import lean, small_batches, written
 
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 10_000))  # groups nest as tags do, to DEEPEST
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HOSTS_AT_ONCE = 5000
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S | re.I)
+HOSTS_AT_ONCE, DEEPEST, PASSES = 5000, 100, 24
+_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][\w:-]*+)((?:[^>\"']++|\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))*+)(?:>|\Z)|[^<]+|<", re.S | re.I)
 _marks = re.compile(r"\b(class|id)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 
 # a node: [kind, value, option, weight, body]; kinds: o(pen) c(lose) v(oid) t(ext) s(lot) r(epeated)
@@ -47,7 +50,9 @@ _ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("opti
 
 def nodes_of(page: str) -> list[list]:
     """The tags and texts of a page, each open tag with its close tag. Scripts, styles, comments and white space between
-    tags are nothing; a close tag without its open tag is dropped, and close tags that a page leaves out are put in."""
+    tags are nothing; a close tag without its open tag is dropped, and close tags that a page leaves out are put in. As
+    in browsers, tags do not nest without end: beyond ``DEEPEST`` one is a tag without a close tag, and a tag that the
+    page doesn't finish takes the rest of it."""
     out: list[list] = []
     stack: list[str] = []
 
@@ -78,7 +83,7 @@ def nodes_of(page: str) -> list[list]:
             if name in _ENDS:
                 end_open(_ENDS[name], _WITHIN[name])
             marks = "".join(f" {k.lower()}={v.strip('\"').strip(chr(39))}" for k, v in _marks.findall(m.group(3))) if m.group(3) else ""
-            if name in VOID or raw.endswith("/>"):
+            if name in VOID or raw.endswith("/>") or len(stack) >= DEEPEST:
                 out.append(["v", name + marks, 0, 0, None])
             else:
                 out.append(["o", name + marks, 0, 0, None])
@@ -147,6 +152,78 @@ def fold(nodes: list[list], tags: set[str]) -> list[list]:
     return out
 
 
+def matching(x: list[str], y: list[str]) -> list[tuple[int, int, int]]:
+    """(place in x, place in y, how many) of equal runs, in order and without crossing.
+
+    Equal ends are taken off first. Between them anchors are the occurrences, the k-th of either side, of signs that are
+    as many on both sides, or of all signs where there are none such; of these the longest ordered chain stays, and the
+    gaps of the chain are divided in turn. A pass over the gaps takes n log n; after ``PASSES`` of them what is left is
+    unlike, so two large pages that have little in common cost as much as two that are alike.
+    """
+    pairs: list[tuple[int, int]] = []
+    gaps = [(0, len(x), 0, len(y))]
+    for _ in range(PASSES):
+        again = []
+        for i, j, p, q in gaps:
+            while i < j and p < q and x[i] == y[p]:
+                pairs.append((i, p))
+                i, p = i + 1, p + 1
+            while i < j and p < q and x[j - 1] == y[q - 1]:
+                j, q = j - 1, q - 1
+                pairs.append((j, q))
+            if i == j or p == q:
+                continue
+            many, other = Counter(x[i:j]), Counter(y[p:q])
+            as_many = {s for s, n in many.items() if other.get(s) == n}
+            places: dict[str, list[int]] = defaultdict(list)
+            for k in range(p, q):
+                if not as_many or y[k] in as_many:
+                    places[y[k]].append(k)
+            seen: Counter[str] = Counter()
+            found = []
+            for k in range(i, j):
+                s = x[k]
+                if s in places and seen[s] < len(places[s]):
+                    found.append((k, places[s][seen[s]]))
+                    seen[s] += 1
+            chain = _chain(found)
+            if not chain:
+                continue
+            pairs += chain
+            bounds = [(i - 1, p - 1), *chain, (j, q)]
+            again += [(a + 1, b, c + 1, d) for (a, c), (b, d) in zip(bounds, bounds[1:]) if b > a + 1 and d > c + 1]
+        gaps = again
+        if not gaps:
+            break
+    out: list[tuple[int, int, int]] = []
+    for i, p in sorted(pairs):
+        if out and i == out[-1][0] + out[-1][2] and p == out[-1][1] + out[-1][2]:
+            out[-1] = (out[-1][0], out[-1][1], out[-1][2] + 1)
+        else:
+            out.append((i, p, 1))
+    return out
+
+
+def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The longest chain that rises on both sides, of pairs that rise on the first."""
+    ends: list[int] = []
+    at: list[int] = []
+    before: list[int] = []
+    for k, (_, p) in enumerate(pairs):
+        n = bisect_left(ends, p)
+        before.append(at[n - 1] if n else -1)
+        if n == len(ends):
+            ends.append(p)
+            at.append(k)
+        else:
+            ends[n], at[n] = p, k
+    out, k = [], at[-1] if at else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
 def _signs(nodes: list[list]) -> list[str]:
     return ["t" if n[KIND] in "ts" else n[KIND] + n[VALUE] for n in nodes]
 
@@ -187,12 +264,10 @@ def align(a: list[list], b: list[list]) -> list[list]:
     top = max([top, *(n[OPTION] for n in b)])
     x, y = _signs(a), _signs(b)
     out: list[tuple[list, int]] = []  # (node, 1 in a only, 2 in b only, 3 in both)
-    ops = [("equal", 0, len(x), 0, len(y))] if x == y else SequenceMatcher(None, x, y, autojunk=False).get_opcodes()
-    for op, i, j, p, q in ops:
-        if op == "equal":
-            out += [(_merge(m, n), 3) for m, n in zip(a[i:j], b[p:q])]
-        else:
-            out += [(n, 1) for n in a[i:j]] + [(n, 2) for n in b[p:q]]
+    i = p = 0
+    for j, q, n in [*matching(x, y), (len(x), len(y), 0)]:
+        out += [(m, 1) for m in a[i:j]] + [(m, 2) for m in b[p:q]] + [(_merge(a[j + k], b[q + k]), 3) for k in range(n)]
+        i, p = j + n, q + n
     made, last = [], (None, None)
     for n, side in out:
         if side != 3 or n[OPTION]:  # one group for each run of the same old group and side
@@ -226,7 +301,7 @@ def extract(wrapper: list[list], page: list[list], path: tuple[str, ...] = (), e
     a, b = fold(wrapper, tags), fold(page, tags)
     x, y = _signs(a), _signs(b)
     pair: dict[int, int] = {}
-    for i, j, n in [(0, 0, len(x))] if x == y else SequenceMatcher(None, x, y, autojunk=False).get_matching_blocks():
+    for i, j, n in matching(x, y):
         pair |= {j + k: i + k for k in range(n)}
     out, stack = [], list(path)
     for j, n in enumerate(b):
@@ -322,7 +397,12 @@ def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def infer_wrappers(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame:
     """(host, pages, wrapper, main, alike) for each host: number of pages, the wrapper as JSON, the part of the page with
-    most data, and whether all pages are copies of one."""
+    most data, and whether all pages are copies of one.
+
+    Null and empty pages have no part in it; rows without a url or a host in it are the host ""; a repeated row counts as
+    a page and changes nothing else; of parts with equally much data the first by name is the main one; pages are read
+    whole; an empty table gives an empty one; other columns are never read.
+    """
     small_batches(pages.sparkSession)
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(page).alias("html")).where("html <> ''")
     partial = rows.mapInArrow(lean(_partial), "host string, pages long, wrapper string, key binary")
@@ -335,7 +415,8 @@ def extract_pages(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     ``fields`` has (path, value) of each slot in the page's order; ``text`` is those of the host's main part, a line
     each. On a host with one page, however many copies, or without a slot there is nothing to compare, so every text is data. A null or empty page has a null
     text and no fields; pages without a host are one host; null ids and repeated rows are kept; an empty table gives an
-    empty one; malformed markup is text or is skipped, never an error. Pages are read whole. Other columns are not read.
+    empty one; malformed markup is text or is skipped, never an error. Pages are read whole, however long
+    or deep. Other columns are not read.
     """
     small_batches(pages.sparkSession)
     kind = pages.schema[page_id].dataType.simpleString()
