@@ -27,6 +27,15 @@ def test_line_dedup_copies_are_one_document(spark):
     assert line_dedup.line_dedup(docs.limit(0)).collect() == []
 
 
+def test_line_dedup_of_a_long_text(spark):
+    lines = [f"own {k}" if k % 3 else "  Shared\tLINE" for k in range(300_000)]
+    rows = [(k, f"shared line\nrest {k}", "m", 1) for k in range(11)] + [(50, "\n".join(lines), "m", 1), (51, "\n" * 200_000, "m", 1), (52, None, None, None), (53, "", "m", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mask string, k int")
+    out = {r.doc_id: r.text for r in line_dedup.line_dedup(docs).collect()}
+    assert out[50] == "\n".join(x for x in lines if x.startswith("own")) and out[0] == "rest 0"
+    assert out[51] == "\n" * 200_000 and out[52] is None and out[53] == ""
+
+
 def test_line_dedup_equals_sql(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "source", "text")
     c = duckdb.connect()

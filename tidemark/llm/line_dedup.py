@@ -4,9 +4,9 @@ A line's normal form is lower case with runs of ASCII white space as one space a
 divided at ``\\n``. Documents with one and the same text count as one document, so that a page copied whole isn't taken
 for boilerplate. Lines without visible characters are never counted or dropped.
 
-Plan: one shuffle of (line hash, text key) for the counts, one of (line hash, text key, position) for the join with the
-few lines over the threshold, then one join of the documents with the masks of those that lose a line. Hashes, never
-lines, are shuffled; the text itself moves once.
+Plan: one shuffle of (line hash, text key) for the counts, an inner join of the lines with the few over the threshold,
+and one join of the documents with the positions that go from those that lose a line. Blank lines and texts without
+lines have no part in these. Hashes, never lines, are shuffled; the text itself moves once.
 """
 
 from __future__ import annotations
@@ -30,39 +30,32 @@ def _lines(docs: DataFrame, text: str) -> DataFrame:
         normal = normal_line(line)
         return F.when(normal != "", F.xxhash64(normal))
 
-    return docs.select(
-        content_key(F.col(text)).alias("k"), F.posexplode(F.transform(F.split(F.col(text), "\n"), one)).alias("pos", "h")
-    )
+    # the key has a projection of its own, below the explosion, so that a text is hashed once and not once for each line
+    keyed = docs.select(content_key(F.col(text)).alias("k"), F.transform(F.split(F.col(text), "\n"), one).alias("hs"))
+    return keyed.select("k", F.posexplode("hs").alias("pos", "h"))
 
 
 def line_dedup(docs: DataFrame, text: str = "text", max_docs: int = MAX_DOCS) -> DataFrame:
     """``docs`` with every line removed that stands in more than ``max_docs`` distinct documents.
 
     All rows and columns stay, in any order; only ``text`` changes. A document that loses all its lines has an empty
-    text. A null text stays null, an empty one empty; repeated rows are treated alike; an empty table gives an empty
+    text. A null text stays null, an empty one empty; repeated rows are treated alike; a line that stands in just
+    ``max_docs`` documents stays; texts of any length and number of lines are read whole; an empty table gives an empty
     table; columns of any name pass through, as rows travel in one struct.
     """
     if max_docs < 1:
         raise ValueError("max_docs must be at least 1")
     bare = docs.select(F.col(text).alias("t")).where("t IS NOT NULL")
-    lines = written(_lines(bare, "t"), "lines")  # read twice, normalised and hashed once
-    hot = (
-        lines.where("h IS NOT NULL")
-        .groupBy("h").agg(F.count_distinct("k").alias("n"))
-        .where(F.col("n") > max_docs).select("h", F.lit(True).alias("hot"))
-    )
-    masks = (
-        lines.join(hot, "h", "left")
-        .groupBy("k").agg(
-            F.max(F.coalesce("hot", F.lit(False))).alias("lossy"),
-            F.sort_array(F.collect_set(F.struct("pos", F.coalesce("hot", F.lit(False)).alias("hot")))).alias("flags"),
-        )
-        .where("lossy").select("k", F.col("flags.hot").alias("mask"))
-    )
-    rows = docs.select(F.struct("*").alias("r"), content_key(F.col(text)).alias("k"))
-    left = F.array_join(
-        F.filter(F.split(F.col("r")[text], "\n"), lambda x, i: ~F.element_at("mask", i + 1)), "\n"
-    )
+    lines = written(_lines(bare, "t").where("h IS NOT NULL"), "lines")  # read twice, normalised and hashed once
+    hot = lines.groupBy("h").agg(F.count_distinct("k").alias("n")).where(F.col("n") > max_docs).select("h")
+    gone = lines.join(hot, "h").groupBy("k").agg(F.sort_array(F.collect_set("pos")).alias("at"))
+    # true at each position that goes, up to the last of them; every text's flags in time linear in its lines
+    before = F.concat(F.array(F.lit(-1)), F.slice("at", F.lit(1), F.size("at") - 1))
+    flags = F.flatten(F.zip_with("at", before, lambda p, q: F.concat(F.array_repeat(F.lit(False), p - q - 1), F.array(F.lit(True)))))
+    masks = gone.select("k", flags.alias("mask"))
+    none = F.struct(F.monotonically_increasing_id().alias("x"), F.lit(0).alias("m"), F.lit(-1).alias("n"))  # spread, and equal to no text's key
+    rows = docs.select(F.struct("*").alias("r"), F.when(F.col(text) != "", content_key(F.col(text))).otherwise(none).alias("k"))
+    left = F.array_join(F.filter(F.split(F.col("r")[text], "\n"), lambda x, i: ~F.coalesce(F.get("mask", i), F.lit(False))), "\n")
     joined = rows.join(masks, "k", "left")
     new = F.when(F.col("mask").isNull(), F.col("r")[text]).otherwise(left)
     return joined.select(*[new.alias(c) if c == text else F.col("r")[c].alias(c) for c in docs.columns])
