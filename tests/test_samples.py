@@ -192,7 +192,10 @@ def test_similarity(spark):
     pairs = block_pairs(df, 0.6)
     assert {r._ord for r in greedy_drop(pairs).collect()} == gone == {r._ord for r in greedy_drop(pairs, small=0).collect()}
     picked = [r._ord for r in maxmin(df, 10).orderBy("rank").collect()]
-    assert picked == farthest_first(v, 10) and len({r._ord for r in maxmin(df, 10, exact_rows=50).collect()}) == 10
+    assert picked == farthest_first(v, 10)
+    for pool in (1, 7, 60):
+        assert [r._ord for r in maxmin(df, 10, pool).orderBy("rank").collect()] == picked
+    assert maxmin(df.limit(0), 5).collect() == [] and maxmin(df, 10_000).count() == len(v)
     assert diversity_score(df).first()[0] == pytest.approx(1 - np.mean((u @ u.T)[np.triu_indices(120, 1)]), abs=1e-6)
     assert diversity_score(df.limit(1)).first()[0] == 1.0 == diversity_score(df.limit(0)).first()[0]
     assert 1 <= kmeans(df, 5).count() <= 5

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.base import Operator, Watch, unwatched
 from tidemark.schema import set_meta
 
-EXACT_ROWS = 200_000
+POOL = 2000
 
 
 def farthest_first(v: np.ndarray, count: int, start: int = 0, digits: int = 9) -> list[int]:
@@ -27,27 +29,51 @@ def farthest_first(v: np.ndarray, count: int, start: int = 0, digits: int = 9) -
     return picked
 
 
-def maxmin(df: DataFrame, count: int, exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """(_ord, rank) of a farthest-first selection over ``vec``, from the first row on.
+def maxmin(df: DataFrame, count: int, pool: int = POOL, digits: int = 9) -> DataFrame:
+    """(_ord, rank) of a farthest-first selection over ``vec``, from the first row on; exact at every size.
 
-    The choice is sequential. Up to ``exact_rows`` rows it is made exactly, in one task on ids and vectors; beyond, each
-    partition chooses ``count`` rows of its own first and the final choice is made among those, the usual core-set.
+    A row's greatest cosine to the rows chosen only grows as more are chosen. So a pass over all rows brings the ``pool``
+    rows with the least of it to the driver, and the choice goes on among these, exactly, until the next one might be a
+    row outside; then comes another pass. Passes are distributed and shuffle nothing but each task's best rows. ``df`` is
+    read once a pass, so it should be a stored table.
     """
+    spark = df.sparkSession
     rows = df.select("_ord", F.col("vec").cast("array<double>").alias("vec"))
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_ord", ignore_index=True)
-        if not len(pdf):
-            return pd.DataFrame({"_ord": [], "rank": [], "vec": []})
-        at = farthest_first(np.array(pdf["vec"].tolist()), count)
-        return pd.DataFrame({"_ord": pdf["_ord"].to_numpy()[at], "rank": np.arange(len(at)), "vec": pdf["vec"].iloc[at].tolist()})
-
-    schema = "_ord long, rank int, vec array<double>"
-    n = rows.count()
-    if n > exact_rows:
-        parts = -(-n // exact_rows)
-        rows = rows.withColumn("_p", F.pmod(F.xxhash64("_ord"), F.lit(parts))).groupBy("_p").applyInPandas(choose, schema).select("_ord", "vec")
-    return rows.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(choose, schema).select("_ord", "rank")
+    first = rows.orderBy("_ord").limit(1).collect() if count > 0 else []
+    taken: list[int] = [r._ord for r in first]
+    chosen = [unit_row(r.vec) for r in first]
+    while taken and len(taken) < count:
+        against, known = np.array(chosen), np.array(taken)
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                pdf = pdf[~np.isin(pdf["_ord"].to_numpy(), known)]
+                if len(pdf):
+                    v = np.array(pdf["vec"].tolist())
+                    v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
+                    yield pdf.assign(most=np.round(v @ against.T, digits).max(axis=1))
+
+        found = rows.mapInPandas(score, "_ord long, vec array<double>, most double").orderBy("most", "_ord").limit(pool + 1).collect()
+        if not found:
+            break
+        bound = (found[-1].most, found[-1]._ord) if len(found) > pool else None  # every row outside is at least here
+        near = found[:pool]
+        ids, most = np.array([r._ord for r in near]), np.array([r.most for r in near])
+        v = np.array([unit_row(r.vec) for r in near])
+        while len(taken) < count:
+            k = int(np.lexsort((ids, most))[0])
+            if np.isinf(most[k]) or bound is not None and (most[k], ids[k]) > bound:
+                break
+            taken.append(int(ids[k]))
+            chosen.append(v[k])
+            most = np.maximum(most, np.round(v @ v[k], digits))
+            most[k] = np.inf
+    return spark.createDataFrame([(o, i) for i, o in enumerate(taken)], "_ord long, rank int")
+
+
+def unit_row(v: list[float]) -> np.ndarray:
+    a = np.asarray(v, np.float64)
+    return a / (np.linalg.norm(a) + 1e-9)
 
 
 def kmeans(df: DataFrame, count: int, seed: int = 42) -> DataFrame:

@@ -77,15 +77,16 @@ def with_word_parts(df: DataFrame) -> DataFrame:
 def knowledge_scores(df: DataFrame, corpus: DataFrame | None = None, vector: str = "vec") -> DataFrame:
     """``df`` with ``knowledge_score`` and ``ref_sim``, the cosine of the nearest text of a reference corpus.
 
-    ``corpus`` has unit vectors in ``vector``, and so must ``df``; it is joined by brute force and broadcast by Spark only
-    while it is small.
+    ``corpus`` has unit vectors in ``vector``, and so must ``df``; blocks of both meet in matrix products.
     """
     cols = df.columns
     df = with_word_parts(df)
     if corpus is None:
         return df.select(*cols, (F.col("_parts") / F.col("_of")).alias("knowledge_score"), F.lit(None).cast("double").alias("ref_sim"))
-    dot = F.aggregate(F.zip_with("_a", "_b", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    near = df.select("_ord", F.col(vector).alias("_a")).crossJoin(corpus.select(F.col(vector).alias("_b"))).groupBy("_ord").agg(F.max(dot).alias("ref_sim"))
+    from tidemark.operators.dedup import nearest
+
+    right = corpus.select(F.xxhash64(vector).alias("r"), F.col(vector).alias("vec")).dropDuplicates(["r"])
+    near = nearest(df.select(F.col("_ord").alias("l"), F.col(vector).alias("vec")), right, 1, 12, cosine=False).select(F.col("l").alias("_ord"), F.col("sim").alias("ref_sim"))
     df = df.join(near, "_ord", "left")
     score = F.when(F.col("ref_sim").isNotNull(), (F.col("_parts") + F.col("ref_sim")) / (F.col("_of") + 1)).otherwise(F.col("_parts") / F.col("_of"))
     return df.select(*cols, score.alias("knowledge_score"), "ref_sim")

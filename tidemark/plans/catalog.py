@@ -449,10 +449,10 @@ def relative_to_baseline(spark, d):
 
 # -- similarity and diversity --
 
-UNIT = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / (sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-9)) AS v FROM embeddings WHERE vec_id < 500)"
-SIMILAR = UNIT + f", p AS (SELECT a.vec_id AS i, b.vec_id AS j, round({_DOT.format(a='a.v', b='b.v')}, 9) AS sim FROM e a JOIN e b ON a.vec_id < b.vec_id), g AS (SELECT i, j, sim FROM p WHERE sim >= 0.3::DOUBLE)"
+UNIT = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / (sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) + 1e-9)) AS v FROM embeddings)"
+SIMILAR = UNIT + f", p AS (SELECT a.vec_id AS i, b.vec_id AS j, round({_DOT.format(a='a.v', b='b.v')}, 9) AS sim FROM e a JOIN e b ON a.vec_id < b.vec_id), g AS MATERIALIZED (SELECT i, j, sim FROM p WHERE sim >= 0.3::DOUBLE)"
 GREEDY = (
-    ", n AS (SELECT i, list(j) AS js FROM g GROUP BY i), o AS (SELECT {id} AS k, js, row_number() OVER (ORDER BY {id}) AS st FROM {rows} LEFT JOIN n ON {id} = n.i),"
+    ", n AS (SELECT i, list(j) AS js FROM g GROUP BY i), o AS MATERIALIZED (SELECT {id} AS k, js, row_number() OVER (ORDER BY {id}) AS st FROM {rows} LEFT JOIN n ON {id} = n.i),"
     " r AS (SELECT CAST(0 AS BIGINT) AS st, CAST([] AS BIGINT[]) AS gone UNION ALL SELECT o.st, CASE WHEN o.js IS NULL OR list_contains(r.gone, o.k) THEN r.gone ELSE list_concat(r.gone, o.js) END FROM r JOIN o ON o.st = r.st + 1),"
     " f AS (SELECT gone FROM r ORDER BY st DESC LIMIT 1)"
 )
@@ -460,20 +460,18 @@ GREEDY = (
 
 @query(f"WITH {SIMILAR} SELECT i, j, round(sim, 6) AS sim FROM g")
 def similar_pairs(spark, d):
-    return block_pairs(vectors(spark, d, 500), 0.3).withColumn("sim", r6("sim"))
+    return block_pairs(vectors(spark, d), 0.3).withColumn("sim", r6("sim"))
 
 
 @query(f"WITH RECURSIVE {SIMILAR}{GREEDY.format(id='e.vec_id', rows='e')} SELECT e.vec_id FROM e, f WHERE NOT list_contains(f.gone, e.vec_id)")
 def semantic_dedup_greedy(spark, d):
-    v = vectors(spark, d, 500)
+    v = vectors(spark, d)
     return v.join(greedy_drop(block_pairs(v, 0.3)), "_ord", "left_anti").select(F.col("_ord").alias("vec_id"))
 
 
 _TOK = "[\\x{4e00}-\\x{9fff}]|[\\p{L}\\p{N}]"
-# conversations of any size: the recursion below takes a step a row
-_SOME = PAIRS.replace("s AS (", "s AS (SELECT * FROM (", 1) + " WHERE ord < 20000)"
 TFIDF = (
-    f"{_SOME}, tk AS (SELECT ord, unnest(regexp_extract_all(lower(output), '{_TOK}')) AS tok FROM s), tf AS (SELECT ord, tok, count(*) AS c FROM tk GROUP BY ord, tok), df AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok), n AS (SELECT count(*) AS n FROM s),"
+    f"{PAIRS}, tk AS (SELECT ord, unnest(regexp_extract_all(lower(output), '{_TOK}')) AS tok FROM s), tf AS (SELECT ord, tok, count(*) AS c FROM tk GROUP BY ord, tok), df AS (SELECT tok, count(*) AS df FROM tf GROUP BY tok), n AS (SELECT count(*) AS n FROM s),"
     " ok AS (SELECT tok, df, n, df >= 2 AND df < 0.8::DOUBLE * n AS ok FROM df, n), vo AS (SELECT * FROM ok WHERE ok OR NOT (SELECT bool_or(ok) FROM ok)),"
     " w AS (SELECT ord, tf.tok, c * ln(n / (df + 1)::DOUBLE) AS w FROM tf JOIN vo ON tf.tok = vo.tok), nm AS (SELECT ord, sqrt(sum(w * w)) AS norm FROM w GROUP BY ord),"
     " u AS (SELECT w.ord, tok, w / CASE WHEN norm = 0 THEN 1 ELSE norm END AS w FROM w JOIN nm ON w.ord = nm.ord),"
@@ -483,26 +481,26 @@ TFIDF = (
 
 @query(f"WITH {TFIDF} SELECT i, j, round(sim, 6) AS sim FROM g")
 def tfidf_pairs(spark, d):
-    s = pairs(spark, d).where("_ord < 20000")
+    s = pairs(spark, d)
     return block_pairs(tfidf_vectors(s, F.col("output")), 0.99, _sparse).withColumn("sim", r6("sim"))
 
 
 @query(f"WITH RECURSIVE {TFIDF}{GREEDY.replace(', n AS', ', nb AS').replace('JOIN n ON {id} = n.i', 'JOIN nb ON {id} = nb.i').format(id='s.ord', rows='s')} SELECT s.id FROM s, f WHERE NOT list_contains(f.gone, s.ord)")
 def tfidf_dedup(spark, d):
-    return TfidfDedup(0.99, "output").apply(pairs(spark, d).where("_ord < 20000")).select("id")
+    return TfidfDedup(0.99, "output").apply(pairs(spark, d)).select("id")
 
 
 @query(
-    f"WITH e AS (SELECT vec_id, embedding AS v, sqrt({_DOT.format(a='embedding', b='embedding')}) AS n FROM embeddings), p AS (SELECT q.vec_id AS query, c.vec_id AS match, round({_DOT.format(a='q.v', b='c.v')} / ((q.n + 1e-9) * (c.n + 1e-9)), 6) AS sim FROM e q, e c WHERE q.vec_id < 10 AND q.vec_id <> c.vec_id)"
+    f"WITH e AS (SELECT vec_id, embedding AS v, sqrt({_DOT.format(a='embedding', b='embedding')}) AS n FROM embeddings), p AS (SELECT q.vec_id AS query, c.vec_id AS match, round({_DOT.format(a='q.v', b='c.v')} / ((q.n + 1e-9) * (c.n + 1e-9)), 6) AS sim FROM e q, e c WHERE q.vec_id <> c.vec_id)"
     " SELECT query, match, sim, CAST(row_number() OVER (PARTITION BY query ORDER BY sim DESC, match) AS INTEGER) AS rank FROM p QUALIFY rank <= 10"
 )
 def find_similar_topk(spark, d):
     e = spark.read.parquet(f"{d}/embeddings.parquet")
-    return find_similar(e.where("vec_id < 10"), e, 10)
+    return find_similar(e, e, 10)
 
 
 @query(
-    f"WITH {UNIT.replace(' WHERE vec_id < 500', '')}, x AS (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS d FROM e), s AS (SELECT d, sum(x) AS s, sum(x * x) AS q, count(*) AS n FROM x GROUP BY d)"
+    f"WITH {UNIT}, x AS (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS d FROM e), s AS (SELECT d, sum(x) AS s, sum(x * x) AS q, count(*) AS n FROM x GROUP BY d)"
     " SELECT round(1 - (sum(s * s) - sum(q)) / (max(n)::DOUBLE * (max(n) - 1)), 6) AS diversity_score FROM s"
 )
 def diversity_scores(spark, d):
@@ -520,7 +518,7 @@ _sql["diversity_score"] = _sql.pop("diversity_scores")
     " SELECT DISTINCT pick AS vec_id, CAST(step AS INTEGER) AS rank FROM r"
 )
 def maxmin_select(spark, d):
-    return maxmin(vectors(spark, d, 500), 20).select(F.col("_ord").alias("vec_id"), "rank")
+    return maxmin(vectors(spark, d), 20).select(F.col("_ord").alias("vec_id"), "rank")
 
 
 @query()
@@ -528,20 +526,6 @@ def kmeans_select(spark, d):
     return kmeans(vectors(spark, d), 20).select(F.col("_ord").alias("vec_id"), "rank")
 
 
-# -- enrichment with the echo model --
-
-
-@query()
-def synthesis_stub(spark, d):
-    scored = set_meta(pairs(spark, d), quality_score=QualityFilter().score())
-    return LLMSynthesis("echo", quality_threshold=0.95).apply(scored).select("id", "output", F.coalesce("meta.synthesized", F.lit(False)).alias("synthesized"))
-
-
-@query()
-def reasoning_stub(spark, d):
-    return ReasoningChainEnhancer("echo").apply(pairs(spark, d)).select("id", "output", F.coalesce("meta.has_reasoning_chain", F.lit(False)).alias("enhanced"))
-
-
 # -- chains --
 
 
@@ -558,8 +542,11 @@ def stage2_chain(spark, d):
 
 
 def queries() -> dict:
+    from tidemark.plans import catalog_frames  # noqa: F401  adds its own
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
