@@ -60,24 +60,42 @@ def tables(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
 
 
-@pytest.mark.parametrize("shard_rows,ids", [(quality.SHARD_ROWS, quality.BROADCAST_IDS), (3000, 0)])
+@pytest.mark.parametrize("shard_rows,ids", [(quality.SHARD_ROWS, quality.BROADCAST_IDS), (1500, 0)])
 def test_equals_the_definition(spark, tables, monkeypatch, shard_rows, ids):
     docs, labels = tables
     monkeypatch.setattr(quality, "BROADCAST_IDS", ids)
     docs = docs.where("lang in ('de', 'es')").withColumn("text", F.substring("text", 1, 700))
     table = quality.train(docs, labels)
     model = quality.Model(table, shard_rows)
-    assert (model.shards > 1) == (shard_rows == 3000)
+    assert (model.shards > quality.CACHED_SHARDS) == (shard_rows == 1500)
     good = {r.doc_id for r in labels.where("quality = 1 AND toxic = 0").collect()}
-    rows = docs.collect()
-    want = {k: reference_model([r.text for r in rows if r.lang == k and r.doc_id in good]) for k in ("de", "es")}
     extra = spark.createDataFrame([(10**6, "### zzz @@ 中文", "de"), (10**6 + 1, "A", "es")], "doc_id long, text string, lang string")
     both = docs.select("doc_id", "text", "lang").unionByName(extra)
+    rows = both.withColumn("half", quality.half_of(F.col("text"))).collect()
+    halves = {(k, h): [r.text for r in rows if r.lang == k and r.half == h and r.doc_id in good] for k in ("de", "es") for h in (0, 1)}
+    want = {(k, h): reference_model(halves[k, h] or halves[k, 1 - h]) for k, h in halves}
     got = {r.r.doc_id: r.ll for r in quality.scored(both, model).collect()}
-    texts = {r.doc_id: (r.lang, r.text) for r in both.collect()}
-    for i in [*list(texts)[:12], 10**6, 10**6 + 1]:
-        lang, text = texts[i]
-        assert got[i] == pytest.approx(want[lang](text), rel=1e-4, abs=1e-3)
+    for r in [*rows[:12], *rows[-2:]]:
+        assert got[r.doc_id] == pytest.approx(want[r.lang, 1 - r.half](r.text), rel=1e-4, abs=1e-3)
+
+
+def test_many_languages_and_memory(spark, tables, monkeypatch):
+    docs, labels = tables
+    model = quality.Model(quality.train(docs.where("lang in ('de', 'en')").withColumn("text", F.substring("text", 1, 400)), labels))
+    texts = [b"Der die das", b"the of and", b"the of and", "ß中".encode(), b""]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    a, b = np.array([0, 1, 2, 0, 1]), np.array([1, 1, 0, 2, 2])
+    part = (data, offsets, a, b)
+    first = list(model.bytewise([part, part]))
+    monkeypatch.setattr(quality, "MEMORY_BITS", 3)
+    quality.CACHES["model"]()
+    small = list(model.bytewise([part, part])) + list(model.bytewise([part]))
+    model.langs |= {f"x{k}": 100 + k for k in range(5000)}
+    wide = list(model.bytewise([part, part]))
+    for out in [*first, *small, *wide]:
+        for mine, want in zip(out, first[0]):
+            assert np.array_equal(mine, want)
+    quality.CACHES["model"]()
 
 
 def test_probabilities_sum_to_one(tables):

@@ -2,20 +2,22 @@
 
 The n-grams are of 1 to 5 bytes of UTF-8, for each language apart. All trusted documents (``quality`` 1 and not
 ``toxic`` among the labels) are counted: partial counts of each task are summed by key, so what is gathered grows with
-the labelled text, while distinct n-grams of bytes stay few. Continuation counts, discounts from counts of counts,
-context totals and interpolated probabilities are aggregations and joins on (language, n-gram). The finished table is
-sharded by hash into files in the shared folder; a scoring task joins its documents' n-grams with one shard after
-another by hashed look-up, so documents are never shuffled for it and a task's memory has a bound whatever the model's
-size. The score is perplexity per byte.
-
-A document is rejected when its log-perplexity is beyond its language's outer fence, ``Q75 + FENCE * (Q75 - Q25)`` of
-the log-perplexities of the language's trusted documents, each scored by the model of the half of the trusted text that
-it isn't in; so the fence doesn't move with the share of junk. Halves are told by the hash of the text. The score of a
-short text is drawn towards the median of those documents with the weight of ``PRIOR`` bytes, as a few bytes say little.
+the labelled text, while distinct n-grams of bytes become few to a byte of it. Continuation counts, discounts from counts
+of counts, context totals and interpolated probabilities are aggregations and joins on (language, n-gram). The finished
+table is sharded by hash into files in the shared folder; a scoring task joins its documents' distinct n-grams with one
+shard after another by hashed look-up, so documents are never shuffled for it and a task's memory has a bound whatever
+the model's size. The score is perplexity per byte.
+
+Trusted text is divided into halves by its hash, and each half has a model. A document is scored by the model of the half
+that its text would not be in, so no document is judged by a model that counted it, or a copy of it (but in a language
+whose trusted text is all in one half). It is rejected when
+its log-perplexity is beyond its language's outer fence, ``Q75 + FENCE * (Q75 - Q25)`` of the log-perplexities of the
+language's trusted documents; so the fence doesn't move with the share of junk. The score of a short text is drawn towards
+the median of those documents with the weight of ``PRIOR`` bytes, as a few bytes say little.
 
 The labelled toxic text of a language has a model by the same code. As a few words hardly move the mean of a document,
 its toxicity is the log of the likelihood ratio of the toxic to the trusted model over the worst ``SPAN`` bytes. It is
-rejected beyond the outer fence of the toxicity of the same documents, scored in the same way.
+rejected beyond the outer fence of the toxicity of the trusted documents.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ from tidemark.llm.common import CACHES, lean, new_path, pieces, small_batches, t
 ORDER, FENCE, PRIOR, SHARD_ROWS, BROADCAST_IDS = 5, 3.0, 100, 1_500_000, 1_000_000
 SPAN = 12
 BEGIN = 2
-#: What follows a language in the names of its other models: the halves of the trusted text and the toxic text.
+CACHED_SHARDS, WALK_BYTES = 4, 32_000_000
+#: What follows a language in the names of its models: the halves of the trusted text and the toxic text.
 HALVES, TOXIC = ("\0a", "\0b"), "\0t"
 
 
@@ -100,18 +103,24 @@ def _low(g: str, n: int) -> Column:
     return F.col(g).bitwiseAND(F.lit((1 << (8 * n)) - 1))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(lang, t or z, part) of the documents to learn from: part 0 or 1 for the halves of the trusted ones, 2 for toxic ones.
+def half_of(text: Column) -> Column:
+    """0 or 1: the half of the trusted text that a text is in; copies are in one."""
+    return F.pmod(F.xxhash64(text), F.lit(2)).cast("int")
 
-    Copies of one text are in one half. A trusted document isn't a toxic one, whatever other labels say.
-    """
-    small_batches(docs.sparkSession)
+
+def known_ids(labels: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """(id, trusted) of the documents to learn from. A trusted document isn't a toxic one, whatever other labels say."""
     trusted = F.coalesce(F.max(F.expr("quality = 1 AND coalesce(toxic, 0) = 0")), F.lit(False))
     known = labels.select(F.col(doc_id).cast("long").alias("id"), "quality", "toxic").groupBy("id")
-    known = known.agg(trusted.alias("trusted"), F.coalesce(F.max(F.expr("toxic = 1")), F.lit(False)).alias("toxic")).where("trusted OR toxic").select("id", "trusted")
+    known = known.agg(trusted.alias("trusted"), F.coalesce(F.max(F.expr("toxic = 1")), F.lit(False)).alias("toxic")).where("trusted OR toxic")
+    return written(known.select("id", "trusted"), "labelled")
+
+
+def labelled(docs: DataFrame, known: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(lang, t or z, part) of the documents to learn from: part 0 or 1 for the halves of the trusted ones, 2 for toxic ones."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.col(text).alias("t")).where("id IS NOT NULL AND t <> ''")
-    rows = rows.withColumn("half", F.pmod(F.xxhash64("t"), F.lit(2)).cast("int"))
-    known = written(known, "labelled")
+    rows = rows.withColumn("half", half_of(F.col("t")))
     part = F.when(F.col("trusted"), F.col("half")).otherwise(F.lit(2)).alias("part")
     if known.count() <= BROADCAST_IDS:  # 9 bytes each; beyond that the texts are packed and shuffled
         return rows.join(F.broadcast(known), "id").select("lang", "t", part)
@@ -121,17 +130,15 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, n, g, lp, lb): log-probability of each n-gram and log-weight of what backs off from it as a context; either may be null.
 
-    Besides each language there are the models of its halves and of its toxic text, named by ``HALVES`` and ``TOXIC``.
+    Each language has the models of its halves and of its toxic text, named by ``HALVES`` and ``TOXIC``.
     """
-    return trained(labelled(docs, labels, doc_id, text, lang))
+    return trained(labelled(docs, known_ids(labels, doc_id), doc_id, text, lang))
 
 
 def trained(chosen: DataFrame) -> DataFrame:
     name = F.concat("lang", F.element_at(F.array(*map(F.lit, (*HALVES, TOXIC))), F.col("part") + 1))
     counts = chosen.select(name.alias("lang"), chosen.columns[1]).mapInArrow(lean(_count), "lang string, g long, c long")
-    parts = written(counts.groupBy("lang", "g").agg(F.sum("c").alias("c")), "ngrams-of-parts")
-    both = parts.where(~F.col("lang").endswith(TOXIC)).select(F.expr(f"substring(lang, 1, length(lang) - {len(TOXIC)})").alias("lang"), "g", "c")
-    counted = written(parts.unionByName(both.groupBy("lang", "g").agg(F.sum("c").alias("c"))), "ngrams")
+    counted = written(counts.groupBy("lang", "g").agg(F.sum("c").alias("c")), "ngrams")
     orders = {ORDER: counted}
     for n in range(ORDER - 1, 0, -1):  # a shorter n-gram counts once for each byte that it is found behind
         orders[n] = written(orders[n + 1].groupBy("lang", _low("g", n).alias("g")).agg(F.count("*").alias("c")), f"ngrams{n}")
@@ -181,9 +188,8 @@ class Model:
         table = written(table, "model-rows")
         self.langs = {r.lang: i for i, r in enumerate(table.select("lang").distinct().orderBy("lang").toLocalIterator())}
         self.shards = max(1, -(-table.count() // shard_rows))
-        number = F.lit(0).cast("long")
-        for name, i in self.langs.items():
-            number = F.when(F.col("lang") == name, F.lit(i).cast("long")).otherwise(number)
+        names = F.create_map(*[F.lit(x) for pair in self.langs.items() for x in pair]) if self.langs else F.create_map(F.lit(""), F.lit(0))
+        number = F.element_at(names, F.col("lang")).cast("long")
         spread = F.shiftright((number * 65536 + _low("g", 2)) * F.lit(2654435761) % F.lit(2**32), 8) % self.shards
         every = F.sequence(F.lit(0), F.lit(self.shards - 1))
         rows = table.withColumn("shard", F.explode(F.when(F.col("n") < 2, every).otherwise(F.array(spread.cast("int")))))
@@ -204,16 +210,56 @@ class Model:
 
     def score(self, data: np.ndarray, offsets: np.ndarray, lang: np.ndarray) -> np.ndarray:
         """Sum of the log-probabilities of each row's bytes; ``lang`` numbers the rows' languages."""
-        return by_row(self.bytewise(data, offsets, lang)[0], offsets)
-
-    def bytewise(self, data: np.ndarray, offsets: np.ndarray, *langs: np.ndarray) -> list[np.ndarray]:
-        """The log-probability of each byte for each numbering of the rows' languages; equal n-grams are looked up once."""
-        _, kind = np.unique(np.stack(langs), axis=1, return_inverse=True)
-        g = grams(data, offsets) | np.repeat(kind.reshape(-1).astype(np.uint64) << np.uint64(40), np.diff(offsets))
-        g, lead, at = np.unique(g, return_index=True, return_inverse=True)
-        row = np.searchsorted(offsets, lead, "right") - 1
-        g &= np.uint64((1 << 40) - 1)
-        return [self._known(g, lang[row].astype(np.uint64) << np.uint64(43))[at] for lang in langs]
+        return by_row(next(self.bytewise([(data, offsets, lang)]))[0], offsets)
+
+    def bytewise(self, parts: list[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
+        """For each part (bytes, offsets, a numbering of the rows' languages or more) the log-probability of each byte by
+        each numbering. The n-grams of all parts that the worker hasn't met are looked up together, once each; it
+        remembers them by a place that their hash gives."""
+        many, columns = np.uint64(len(self.langs) + 1), len(parts[0]) - 2
+        kinds = []
+        for part in parts:
+            kind = np.zeros(len(part[1]) - 1, np.uint64)
+            for lang in part[2:]:
+                kind = kind * many + lang.astype(np.uint64)
+            kinds.append(kind)
+        fits = int(many) ** columns < 1 << 24
+        if fits:
+            memory = _remembered(self.path, columns)
+        else:  # too many languages for a key: kinds are numbered for these parts only, and nothing is remembered
+            every = np.unique(np.concatenate(kinds))
+            kinds, memory = [np.searchsorted(every, k).astype(np.uint64) for k in kinds], _empty(columns, 4)
+        seen, values = memory
+        shift = np.uint64(65 - len(seen).bit_length())
+
+        def keyed(part: tuple, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            key = grams(*part[:2]) | np.repeat(kind << np.uint64(40), np.diff(part[1]))
+            slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
+            return key, slot, np.flatnonzero(seen[slot] != key)
+
+        held = [keyed(*x) for x in zip(parts, kinds)] if len(parts) == 1 else None
+        new = []
+        for x in zip(parts, kinds):
+            key, _, other = held[0] if held else keyed(*x)
+            new.append(np.unique(key[other]))
+        lead = np.unique(np.concatenate(new))
+        rest, tags = lead >> np.uint64(40), []
+        rest = rest if fits else every[rest.astype(np.int64)]
+        for _ in range(columns):
+            tags.insert(0, rest % many << np.uint64(43))
+            rest = rest // many
+        found = self._known(np.tile(lead & np.uint64((1 << 40) - 1), columns), np.concatenate(tags)).reshape(columns, -1)
+        for x in zip(parts, kinds):
+            key, slot, other = held[0] if held else keyed(*x)
+            at = np.searchsorted(lead, key[other])
+            out = [v[slot] for v in values]
+            for mine, theirs in zip(out, found):
+                mine[other] = theirs[at]
+            yield out
+        place = ((lead * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
+        seen[place] = lead
+        for mine, theirs in zip(values, found):
+            mine[place] = theirs
 
     def _known(self, g: np.ndarray, tag: np.ndarray) -> np.ndarray:
         n = len(g)
@@ -296,7 +342,7 @@ class Shard:
         return np.where(at >= 0, self.values[column][at], np.float32(np.nan))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=CACHED_SHARDS)
 def _shard(path: str, k: int, langs: tuple[str, ...]) -> Shard:
     fs, root = pafs.FileSystem.from_uri(path)
     found = [x.path for x in fs.get_file_info(pafs.FileSelector(f"{root}/shard={k}", allow_not_found=True)) if x.path.endswith(".parquet")]
@@ -311,73 +357,75 @@ def _shard(path: str, k: int, langs: tuple[str, ...]) -> Shard:
     return Shard(keys, tuple(t[c].to_numpy().astype(np.float32) for c in ("lp", "lb")))
 
 
-CACHES["model"] = _shard.cache_clear
+MEMORY_BITS = 21
 
 
-def _scores(model: Model, data: np.ndarray, offsets: np.ndarray, names: list[str], trusted: list[str]) -> list[pa.Array]:
-    """[bytes, log-likelihood of each row by the model that ``trusted`` names, worst span of the toxic text's
-    likelihood ratio against it]; null where there is no model or text."""
-    size = np.diff(offsets)
-    good, bad = (np.array([model.langs.get(x, -1) for x in of], np.int64) for of in (trusted, [x + TOXIC for x in names]))
-    ll, ratio = np.zeros(len(size)), np.zeros(len(size))
-    for lo, hi in pieces(offsets, 500_000 if model.shards < 3 else 2_000_000):
-        at = offsets[lo : hi + 1] - offsets[lo]
-        p, q = model.bytewise(data[offsets[lo] : offsets[hi]], at, np.maximum(good[lo:hi], 0), np.maximum(bad[lo:hi], 0))
-        ll[lo:hi], ratio[lo:hi] = by_row(p, at), worst_span(q - p, at)
-    none = (good < 0) | (size == 0)
-    return [pa.array(size), pa.array(ll, mask=none), pa.array(ratio, mask=none | (bad < 0))]
+def _empty(columns: int, bits: int = MEMORY_BITS) -> tuple[np.ndarray, list[np.ndarray]]:
+    return np.full(1 << bits, np.uint64(2**64 - 1)), [np.zeros(1 << bits, np.float32) for _ in range(columns)]
 
 
-def scored(docs: DataFrame, model: Model, text: str = "text", lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
-    """The columns ``carry`` (all by default) of ``docs`` in a struct ``r`` with the language ``l``, bytes ``nb``, sum of
-    log-probabilities ``ll`` and toxicity ``tox``; null where there is no model or text."""
-    small_batches(docs.sparkSession)
-    carry = carry or docs.columns
-    inside = text in carry  # then the text travels once
-    rows = docs.select(F.struct(*carry).alias("r"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("l"), *([] if inside else [F.col(text).alias("t")]))
+@lru_cache(maxsize=1)
+def _remembered(path: str, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """A worker's n-grams and their values; of two with one place the later stays."""
+    return _empty(columns)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            r = batch.column("r")
-            data, offsets = text_bytes(r.field(carry.index(text)) if inside else batch.column("t"))
-            names = batch.column("l").to_pylist()
-            yield pa.RecordBatch.from_arrays([r, batch.column("l"), *_scores(model, data, offsets, names, names)], ["r", "l", "nb", "ll", "tox"])
-            del batch, r, data
 
-    schema = T.StructType([*rows.select("r", "l").schema.fields, T.StructField("nb", T.LongType()), T.StructField("ll", T.DoubleType()), T.StructField("tox", T.DoubleType())])
-    return rows.mapInArrow(lean(run, keep="model"), schema)
+def _forget() -> None:
+    _shard.cache_clear()
+    _remembered.cache_clear()
 
 
-def held_out(chosen: DataFrame, model: Model) -> DataFrame:
-    """(l, nb, ll, tox) of the trusted documents, each scored by the model of the half that it isn't in."""
+CACHES["model"] = _forget
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdDecompressor()
-        for batch in batches:
-            texts = batch.column(1)
-            if texts.type == pa.binary():
-                texts = pa.array([z.decompress(x.as_buffer()) for x in texts], pa.large_binary())
-            data, offsets = text_bytes(texts.cast(pa.large_binary()).cast(pa.large_string()))
-            names = batch.column("lang").to_pylist()
-            other = [x + HALVES[1 - half] for x, half in zip(names, batch.column("part").to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), *_scores(model, data, offsets, names, other)], ["l", "nb", "ll", "tox"])
-
-    return chosen.where("part < 2").mapInArrow(lean(run, keep="model"), "l string, nb long, ll double, tox double")
-
-
-def _by_language(values: dict[str, float | None]) -> Column:
-    """A number for each language."""
-    out = F.lit(None).cast("double")
-    for name, value in values.items():
-        if value is not None:
-            out = F.when(F.col("l") == name, F.lit(float(value))).otherwise(out)
-    return out
 
+def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", carry: list[str] | None = None) -> DataFrame:
+    """The columns ``carry`` (all by default) of ``docs`` in a struct ``r`` with the id, language ``l``, bytes ``nb``, sum of
+    log-probabilities ``ll`` and toxicity ``tox``; null where there is no model or text. A text is scored by the model
+    of the half that it isn't in."""
+    small_batches(docs.sparkSession)
+    carry = carry or docs.columns
+    inside = text in carry  # then the text travels once
+    rows = docs.select(
+        F.struct(*carry).alias("r"), F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("l"), half_of(F.col(text)).alias("half"), *([] if inside else [F.col(text).alias("t")])
+    )
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        """Batches that are scored in one walk through the shards: each by itself while a worker holds all shards."""
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if model.shards <= CACHED_SHARDS or size > WALK_BYTES:
+                yield held
+                held, size = [], 0
+        if held:
+            yield held
 
-def _fence(table: DataFrame, column: str, fence: float) -> Column:
-    """The outer fence of each language's values of a column."""
-    q = table.where(F.col(column).isNotNull()).groupBy("l").agg(F.percentile_approx(column, F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000)).alias("q"))
-    return _by_language({r.l: r.q[1] + fence * (r.q[1] - r.q[0]) for r in q.toLocalIterator()})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in together(batches):
+            rows, parts = [], []
+            for batch in group:
+                data, offsets = text_bytes(batch.column("r").field(carry.index(text)) if inside else batch.column("t"))
+                names, half = batch.column("l").to_pylist(), batch.column("half").to_pylist()
+                good = np.array([model.langs.get(x + HALVES[1 - (h or 0)], model.langs.get(x + HALVES[h or 0], -1)) for x, h in zip(names, half)], np.int64)
+                bad = np.array([model.langs.get(x + TOXIC, -1) for x in names], np.int64)
+                cuts = list(pieces(offsets))
+                rows.append((batch, offsets, good, bad, cuts))
+                parts += [(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], np.maximum(good[lo:hi], 0), np.maximum(bad[lo:hi], 0)) for lo, hi in cuts]
+            bytewise = zip(parts, model.bytewise(parts)) if parts else iter(())
+            for batch, offsets, good, bad, cuts in rows:
+                ll, ratio = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+                for lo, hi in cuts:
+                    (_, at, *_), (p, q) = next(bytewise)
+                    ll[lo:hi], ratio[lo:hi] = by_row(p, at), worst_span(q - p, at)
+                size = np.diff(offsets)
+                none = (good < 0) | (size == 0)
+                columns = [pa.array(size), pa.array(ll, mask=none), pa.array(ratio, mask=none | (bad < 0))]
+                yield pa.RecordBatch.from_arrays([batch.column("r"), batch.column("id"), batch.column("l"), *columns], ["r", "id", "l", "nb", "ll", "tox"])
+            next(bytewise, None)  # lets it remember what it has found
+
+    schema = T.StructType([*rows.select("r", "id", "l").schema.fields, T.StructField("nb", T.LongType()), T.StructField("ll", T.DoubleType()), T.StructField("tox", T.DoubleType())])
+    return rows.mapInArrow(lean(run, keep="model"), schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fence: float = FENCE, carry: list[str] | None = None) -> DataFrame:
@@ -385,25 +433,30 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
     Kept without a score: a null or empty text, and a language without trusted text (a null language is one of its
     own). Labels with null values aren't trusted; a document with several labels is trusted if one of them says so.
-    Repeated rows are each scored. Empty tables give an empty one, and without labels every row is kept. Texts are
+    Repeated rows are each scored. Extra columns of any name travel in ``r``. Empty tables give an empty one, and without labels every row is kept. Texts are
     scored to their end. A language without toxic labels has no toxicity.
     """
-    chosen = labelled(docs, labels, doc_id, text, lang)
-    model = Model(trained(chosen))
-    sample = written(held_out(chosen, model), "held-out")
-    table = written(scored(docs, model, text, lang, carry).withColumn("h", -F.col("ll") / F.col("nb")), "scored")
-    toxic_limit = _fence(sample, "tox", fence)
-    middle = sample.where("ll IS NOT NULL").groupBy("l").agg(F.percentile_approx(-F.col("ll") / F.col("nb"), F.lit(0.5), F.lit(10_000)).alias("mid"))
-    mid = _by_language({r.l: r.mid for r in middle.toLocalIterator()})
-    drawn = (-F.col("ll") + PRIOR * mid) / (F.col("nb") + PRIOR)
-    table, limit = table.withColumn("s", drawn), _fence(sample.withColumn("s", drawn), "s", fence)
-    clean = F.coalesce(F.col("tox") <= toxic_limit, F.lit(True))
+    known = known_ids(labels, doc_id)
+    model = Model(trained(labelled(docs, known, doc_id, text, lang)))
+    table = written(scored(docs, model, doc_id, text, lang, carry).withColumn("h", -F.col("ll") / F.col("nb")), "scored")
+    sample = table.select("id", "l", "nb", "ll", "h", "tox").where("ll IS NOT NULL").join(known.where("trusted"), "id", "left_semi")
+    middle = written(sample.groupBy("l").agg(F.percentile_approx("h", F.lit(0.5), F.lit(10_000)).alias("mid")), "medians")
+    drawn = (-F.col("ll") + PRIOR * F.col("mid")) / (F.col("nb") + PRIOR)
+
+    def limit(column: str) -> Column:
+        q = F.percentile_approx(column, F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
+        return q[1] + fence * (q[1] - q[0])
+
+    limits = sample.join(F.broadcast(middle), "l").withColumn("s", drawn).groupBy("l", "mid").agg(limit("s").alias("most"), limit("tox").alias("worst"))
+    limits = written(limits, "limits")  # a row for each language, and so broadcast
+    table = table.join(F.broadcast(limits), "l", "left").withColumn("s", drawn)
+    keep = F.coalesce(F.col("s") <= F.col("most"), F.lit(True)) & F.coalesce(F.col("tox") <= F.col("worst"), F.lit(True))
     return table.select(
-        "r", F.exp("h").alias("perplexity"), F.exp("s").alias("score"), F.exp(limit).alias("threshold"), F.col("tox").alias("toxicity"), toxic_limit.alias("toxic_threshold"),
-        (F.coalesce(F.col("s") <= limit, F.lit(True)) & clean).alias("keep"),
-    )
+        "r", F.exp("h").alias("perplexity"), F.exp("s").alias("score"), F.exp("most").alias("threshold"), F.col("tox").alias("toxicity"), F.col("worst").alias("toxic_threshold"), keep.alias("keep")
+    )
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fence: float = FENCE) -> DataFrame:
-    """``docs`` without the rows that ``judged`` rejects, with all columns."""
+    """``docs`` without the rows that ``judged`` rejects, with all columns; nulls, empty and very long texts, repeated rows,
+    ties (a score at its threshold stays) and empty tables as there."""
     return judged(docs, labels, doc_id, text, lang, fence).where("keep").select(*[F.col("r")[c].alias(c) for c in docs.columns])
