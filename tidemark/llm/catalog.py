@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, line_dedup, media, minhash, packing, quality, records, substring_dedup, suffix_dedup, wrappers
+from tidemark.llm import decontaminate, line_dedup, media, minhash, packing, quality, records, sql, substring_dedup, suffix_dedup, wrappers
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,4 +61,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op5_line_dedup": line_dedup.SQL}
+    return {"op1_suffix_array_dedup": sql.PASSAGES, "op2_benchmark_decontamination": sql.CONTAMINATION, "op5_line_dedup": line_dedup.SQL, "op9_substring_dedup": sql.PASSAGES}

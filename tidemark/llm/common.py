@@ -6,13 +6,8 @@ maximal run of bytes that are not ASCII white space (0x09-0x0D, 0x1C-0x20).
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import gc
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,53 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans.storage import ship
+from tidemark.plans.storage import _made, new_path, remove, shared_dir, ship, stored
 
-_made: list[tuple[SparkSession, str]] = []
+work_dir = shared_dir
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, found[7:], ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
-    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
-    return re.sub(r"^file:/(?!/)", "file:///", whole)  # with its file system, so that workers find it without Spark
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    path = f"{work_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that ``new_path`` named, wherever Hadoop's file systems keep it."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            if spark.sparkContext._jsc is not None:
-                remove(spark, path)
-        except Exception:  # the session has ended; the folder belongs to the cluster's own housekeeping
-            return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A table in the shared folder: lineage ends there and a lost executor costs no recomputation.
+written = stored
 
 
 BATCH_ROWS = 2000
@@ -179,8 +134,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, first word of each row): byte bounds of all words; rows never share a word."""
+#: Scripts that are written without spaces: Thai, Lao, Burmese, Khmer, kana and the Chinese characters.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x323AF))
+
+
+def unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, the one after the last) of every character of UNSPACED."""
+    at = np.flatnonzero(data >= 0xE0)
+    wide = 3 + (data[at] >= 0xF0)
+    at, wide = at[at + wide <= len(data)], wide[at + wide <= len(data)]
+    low = [data[at + k].astype(np.int64) & 0x3F for k in (1, 2)]
+    three = (data[at].astype(np.int64) & 0x0F) << 12 | low[0] << 6 | low[1]
+    last = data[np.minimum(at + 3, len(data) - 1)].astype(np.int64) & 0x3F
+    point = np.where(wide == 3, three, (data[at].astype(np.int64) & 0x07) << 18 | low[0] << 12 | low[1] << 6 | last)
+    some = np.zeros(len(at), bool)
+    for lo, hi in UNSPACED:
+        some |= (point >= lo) & (point <= hi)
+    return at[some], (at + wide)[some]
+
+
+def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE, lone: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first word of each row): byte bounds of all words; rows never share a word. With ``lone`` each
+    character of a script without spaces is a word by itself."""
     n = len(data)
     solid = np.empty(n + 1, bool)
     solid[:n] = ~gap[data]
@@ -193,6 +168,12 @@ def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tup
     starts[breaks] = solid[breaks]
     ends = before & ~solid
     ends[breaks] = before[breaks]
+    if lone and n:
+        a, e = unspaced(data)
+        starts[a] = ends[e] = True
+        starts[e] |= solid[e]
+        ends[a] |= before[a]
+        starts[breaks], ends[breaks] = solid[breaks], before[breaks]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends)
     return start, end, np.searchsorted(start, offsets)
 

@@ -13,11 +13,10 @@ from functools import lru_cache
 
 import numpy as np
 
-from tidemark.llm.common import _P, _PINV, NOT_ALNUM, mix, powers, word_hashes, words
+from tidemark.llm.common import _P, _PINV, NOT_ALNUM, UNSPACED, mix, powers, word_hashes, words
 
 GAP, WORD, ALONE = 0, 1, 2
 _TOP = 0x20000
-_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF))
 _VALUE = np.uint64(0x9E3779B97F4A7C15)
 _ascii = np.arange(256, dtype=np.uint64)
 _ascii[65:91] += np.uint64(32)
@@ -45,7 +44,7 @@ def _tables() -> tuple[np.ndarray, ...]:
         if f != x and f:
             at[c], size[c] = len(flat), len(f)
             flat += map(ord, f)
-    for lo, hi in _UNSPACED:
+    for lo, hi in UNSPACED[:-1]:
         some = kind[lo : hi + 1] == WORD
         kind[lo : hi + 1][some] = ALONE
     return kind, joins, size, at, np.array(flat, np.uint32)

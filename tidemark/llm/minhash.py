@@ -1,6 +1,7 @@
 """Operator 10, MinHash near-dedup by an LSH forest.
 
-Each document has 128 min-hashes of its distinct runs of three words (lower case, ASCII punctuation apart). Sixteen trees
+Each document has 128 min-hashes of its distinct runs of three words (lower case, ASCII punctuation apart; a
+character of a script without spaces is a word). Sixteen trees
 hold eight of them each as a label: a tree is the documents in the sorted order of their labels, so that documents with
 a long common prefix are neighbours. A region of the order descends to the least depth at which it has at most ``LEAF``
 documents, and there all of its pairs are candidates; neighbours are candidates at any depth. Regions that are larger
@@ -36,7 +37,7 @@ _B = _rng.integers(0, 2**32, HASHES, np.uint64).astype(np.uint32)
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(32-bit hash of every run of ``size`` words, first run of each row). A shorter text is one run of all its words."""
     data = fold(data)
-    start, end, first = words(data, offsets, NOT_ALNUM)
+    start, end, first = words(data, offsets, NOT_ALNUM, lone=True)
     h = word_hashes(data, start, end)
     n = np.diff(first)
     runs = window_hashes(h, size)

@@ -30,7 +30,7 @@ def split_words(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, n
     for lo, hi in pieces(offsets):
         at = offsets[lo : hi + 1] - offsets[lo]
         part = data[offsets[lo] : offsets[hi]]
-        start, end, first = words(part, at)
+        start, end, first = words(part, at, lone=True)
         yield lo, hi, part, at, start, end, first
 
 
@@ -154,11 +154,13 @@ def _span_rows(who: np.ndarray, start: np.ndarray, end: np.ndarray, keep: np.nda
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word, keep) of every maximal span of words made of passages that stand in two places.
 
-    Words are runs without ASCII white space, counted from 0; end_word is exclusive. ``keep`` marks the spans of first
+    Words are runs without ASCII white space, and single characters of scripts without spaces, counted from 0; end_word
+    is exclusive. ``keep`` marks the spans of first
     occurrences (least id, then position); a span that isn't kept may overlap one that is. A text that is equal to
     another as a whole is reported as one span; of equal texts only the first is searched further.
     Rows with a null id or text, or of fewer than 50 words, have no spans. Rows that repeat id and text are one
-    document. An empty table gives an empty one. Other columns are never read. ``doc_id`` must be an integer.
+    document. Texts of any length are read whole. An empty table gives an empty one. Other columns are never read, whatever
+    their names. ``doc_id`` must be an integer.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("k"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")

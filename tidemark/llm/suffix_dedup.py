@@ -183,30 +183,21 @@ def corpus_order(text: np.ndarray, first: np.ndarray, wanted: np.ndarray) -> np.
     return wanted[np.argsort(alpha * (len(order) + 2) + after, kind="stable")]
 
 
-def _judge(table: pa.Table) -> pa.RecordBatch:
-    """Passages among whole groups of contexts, sorted by name, words, id and position."""
-    table = table.combine_chunks()
-    ids, pos, n, h = (table[c].to_numpy() for c in ("id", "pos", "n", "h"))
-    column = table["words"].combine_chunks()
+def _context_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(prints of all words, bounds of each context)."""
     bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 4
-    text = np.frombuffer(column.buffers()[2] or b"", "<u4")
+    return np.frombuffer(column.buffers()[2] or b"", "<u4")[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def _judge(table: pa.Table, twice: np.ndarray) -> pa.RecordBatch:
+    """Passages among the unlike contexts of whole names, sorted by name, words, id and position; ``twice``: has it copies?"""
+    table = table.combine_chunks()
+    ids, pos, n = (table[c].to_numpy() for c in ("id", "pos", "n"))
+    text, bounds = _context_words(table["words"].combine_chunks())
     size = np.diff(bounds)
-    wh = range_hashes(text.astype(np.uint64) + np.uint64(1), bounds[:-1], bounds[1:])
-    same = (h[1:] == h[:-1]) & (size[1:] == size[:-1]) & (wh[1:] == wh[:-1])
-    other = (ids[1:] != ids[:-1]) | (pos[1:] != pos[:-1])
-    lead = np.concatenate([[True], ~same])
-    copied = np.zeros(len(ids), bool)
-    copied[1:] |= same & other
-    copied[:-1] |= same & other
-    group = np.cumsum(lead) - 1
-    twice = np.bincount(group, weights=copied) > 0
-    # contexts that equal the one before them are passages as wholes; each run of equal ones goes on as its first
-    again = np.flatnonzero(~lead & copied)
-    out = [(ids[again], pos[again], n[again], np.zeros(len(again), bool))]
-    alone = np.flatnonzero(lead & (size == 0))
-    alone = alone[twice[group[alone]]]
-    out.append((ids[alone], pos[alone], n[alone], np.ones(len(alone), bool)))
-    rep = np.flatnonzero(lead & (size > 0))
+    alone = np.flatnonzero(twice & (size == 0))  # the first of equal texts
+    out = [(ids[alone], pos[alone], n[alone], np.ones(len(alone), bool))]
+    rep = np.flatnonzero(size > 0)
     if len(rep):
         first = np.concatenate([[0], np.cumsum(size[rep])])
         t = text[np.repeat(bounds[:-1][rep] - first[:-1], size[rep]) + np.arange(first[-1])]
@@ -222,7 +213,7 @@ def _judge(table: pa.Table) -> pa.RecordBatch:
         place[np.lexsort((pos[rep], ids[rep]))] = np.arange(len(rep))
         where = place[c] * (1 << 32) + (order - first[c])
         least = np.minimum.reduceat(where, np.flatnonzero(~equal))
-        hit = (np.bincount(klass)[klass] > 1) | twice[group[rep]][c]
+        hit = (np.bincount(klass)[klass] > 1) | twice[rep][c]
         keep = where == least[klass]
         i = np.lexsort((order[hit],))
         s, k, c = order[hit][i], keep[hit][i], c[hit][i]
@@ -231,44 +222,65 @@ def _judge(table: pa.Table) -> pa.RecordBatch:
             count = np.diff(np.concatenate([head, [len(s)]]))
             cc = rep[c[head]]
             out.append((ids[cc], pos[cc] + s[head] - first[c[head]], count + MIN_WORDS - 1, k[head]))
-    who, p, m, k = (np.concatenate(x) for x in zip(*out))
-    return pa.RecordBatch.from_arrays([pa.array(who), pa.array(p.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(k)], ["id", "pos", "n", "keep"])
+    return _found(*(np.concatenate(x) for x in zip(*out)))
 
 
-def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[pa.RecordBatch] = []
-    total = 0
+def _found(who: np.ndarray, pos: np.ndarray, n: np.ndarray, keep: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(who), pa.array(pos.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(keep.astype(bool))], ["id", "pos", "n", "keep"])
 
-    def sized(batch: pa.RecordBatch) -> int:
-        return int(batch.column("words").nbytes) // 4
 
+def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For contexts sorted by name, words, id and position. One that equals the one before it is a passage as a whole and
+    goes on at once, so of equal contexts only the first is held, however many there are."""
+    held: list[pa.RecordBatch] = []
+    twice: list[np.ndarray] = []
+    total, last = 0, None
     for big in batches:
         for i in range(0, big.num_rows, 500):
             batch = big.slice(i, 500)
-            held.append(batch)
-            total += sized(batch)
+            text, bounds = _context_words(batch.column("words"))
+            wh = range_hashes(text.astype(np.uint64) + np.uint64(1), bounds[:-1], bounds[1:])
+            rows = np.stack([batch.column("h").to_numpy(), np.diff(bounds), wh.view(np.int64), batch.column("id").to_numpy(), batch.column("pos").to_numpy().astype(np.int64)])
+            before = np.concatenate([rows[:, :1] + 1 if last is None else last, rows[:, :-1]], axis=1)
+            last = rows[:, -1:]
+            same = (rows[:3] == before[:3]).all(axis=0)
+            copy = same & (rows[3:] != before[3:]).any(axis=0)
+            group = np.cumsum(~same) - 1
+            more = np.bincount(group[copy] + 1, minlength=int(group[-1]) + 2) > 0
+            if more[0]:
+                twice[-1][-1] = True
+            if copy.any():
+                yield _found(rows[3][copy], rows[4][copy], batch.column("n").to_numpy()[copy], np.zeros(int(copy.sum()), bool))
+            if same.all():
+                continue
+            held.append(batch.filter(pa.array(~same)))
+            twice.append(more[1:].copy())
+            total += int(np.diff(bounds)[~same].sum())
             if total < BATCH_WORDS:
                 continue
-            table = pa.Table.from_batches(held)
+            table, flags = pa.Table.from_batches(held), np.concatenate(twice)
             h = table["h"].to_numpy()
             change = np.flatnonzero(h[1:] != h[:-1])
             if len(change):
                 cut = int(change[-1]) + 1
-                yield _judge(table.slice(0, cut))
-                held = table.slice(cut).combine_chunks().to_batches()
-            total = sum(map(sized, held))
+                yield _judge(table.slice(0, cut), flags[:cut])
+                table, flags = table.slice(cut).combine_chunks(), flags[cut:]
+            held, twice = table.to_batches(), [flags]
+            total = sum(int(b.column("words").nbytes) // 4 for b in held) if len(change) else 0
     if held:
-        yield _judge(pa.Table.from_batches(held))
+        yield _judge(pa.Table.from_batches(held), np.concatenate(twice))
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, start_word, end_word, keep) of every maximal span of words made of passages that stand in two places.
 
-    Words are runs without ASCII white space, counted from 0; end_word is exclusive. ``keep`` marks the spans of first
+    Words are runs without ASCII white space, and single characters of scripts without spaces, counted from 0; end_word
+    is exclusive. ``keep`` marks the spans of first
     occurrences (least id, then position); a span that isn't kept may overlap one that is. A text that is equal to
     another as a whole is reported as one span; of equal texts only the first is searched further.
     Rows with a null id or text, or of fewer than 50 words, have no spans. Rows that repeat id and text are one
-    document. An empty table gives an empty one. Other columns are never read. ``doc_id`` must be an integer.
+    document. Texts of any length are read whole. An empty table gives an empty one. Other columns are never read, whatever
+    their names. ``doc_id`` must be an integer.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("k"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
