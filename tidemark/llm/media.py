@@ -2,8 +2,10 @@
 
 A stream is walked frame by frame from its headers: tags before and after it are parsed, bytes that are no frame are
 skipped until a header that another one (or the end) follows at the right distance, variable-bitrate tables are read,
-and the checksums of protected Layer III frames are verified. Durations are exact: samples and sample rate are
-stored as integers, and seconds are their quotient. Every frame's offset is kept for seeking.
+with their seek tables and the encoder's delay and padding, and the checksums of protected frames of all three layers
+are verified: over the side information in Layer III, the bit allocation in Layer I, and that with the scale factor
+selection in Layer II. Durations are exact: samples and sample rate are stored as integers, and seconds are the quotient
+of the samples without delay and padding. Every frame's offset is kept for seeking. Free-format frames are none.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ _KBPS = {
 SCHEMA = (
     "valid boolean, layer int, version double, channels int, sample_rate int, n_samples long, duration_s double, n_frames int,"
     " mean_kbps double, vbr string, vbr_frames long, vbr_bytes long, n_checked int, n_bad_crc int, n_resyncs int, n_skipped long,"
-    " title string, artist string, frame_offsets array<long>"
+    " title string, artist string, encoder_delay int, encoder_padding int, seek_table array<long>, frame_offsets array<long>"
 )
 _heads: dict[int, tuple | None] = {}
 
@@ -80,6 +82,44 @@ def crc16(rows: np.ndarray) -> np.ndarray:
     return c
 
 
+def _layer2_bits(version: int, hz: int, kbps: int, channels: int) -> list[int]:
+    """Bits of the allocation of each subband."""
+    if version != 3:
+        return [4] * 4 + [3] * 7 + [2] * 19
+    each = kbps // channels
+    if each <= 48:
+        return [4] * 2 + [3] * (10 if hz == 32000 else 6)
+    return [4] * 11 + [3] * 12 + [2] * (4 if each <= 80 or hz == 48000 else 7)
+
+
+def checked_bits(frame: bytes, info: tuple) -> int | None:
+    """How many bits after the checksum of a protected frame of Layer I or II it covers; None where the frame is too short."""
+    channels, body = info[6], frame[6:]
+    bound = 4 + 4 * (frame[3] >> 4 & 3) if frame[3] >> 6 == 1 else 32  # joint stereo shares the allocation from there on
+    if info[2] == 3:
+        return min(bound, 32) * 4 * channels + (32 - min(bound, 32)) * 4
+    bits, at, chosen = int.from_bytes(body[:64].ljust(64, b"\0"), "big"), 0, 0
+    for band, n in enumerate(_layer2_bits(info[1], info[3], info[7], channels)):
+        for _ in range(channels if band < bound else 1):
+            if bits >> 512 - at - n & (1 << n) - 1:
+                chosen += 1 if band < bound else channels
+            at += n
+    total = at + 2 * chosen
+    return total if total <= 8 * len(body) else None
+
+
+def crc_of(frame: bytes, count: int) -> int:
+    """CRC-16 of the last two header bytes and so many bits after the checksum."""
+    c = 0xFFFF
+    whole = frame[2:4] + frame[6 : 6 + count // 8]
+    for b in whole:
+        c = (c << 8 & 0xFFFF) ^ _CRC_LIST[c >> 8 ^ b]
+    for k in range(count % 8):
+        bit = frame[6 + count // 8] >> 7 - k & 1
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if c >> 15 ^ bit else 0)
+    return c
+
+
 def _text(raw: bytes) -> str | None:
     if not raw:
         return None
@@ -99,11 +139,14 @@ def tags(data: bytes) -> tuple[int, int, str | None, str | None]:
         at, stop = begin + 10, min(end, begin + 10 + size)
         if flags & 0x40 and major > 2 and at + 4 <= stop:
             at += _syncsafe(data[at : at + 4]) if major == 4 else int.from_bytes(data[at : at + 4], "big") + 4
-        wide = 6 if major == 2 else 10
-        while at + wide <= stop and data[at]:
-            name = data[at : at + (3 if major == 2 else 4)]
-            n = int.from_bytes(data[at + 3 : at + 6], "big") if major == 2 else _syncsafe(data[at + 4 : at + 8]) if major == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-            body = data[at + wide : min(stop, at + wide + n)]
+        raw = data[at:stop]
+        if flags & 0x80:
+            raw = raw.replace(b"\xff\x00", b"\xff")
+        wide, at = 6 if major == 2 else 10, 0
+        while at + wide <= len(raw) and raw[at]:
+            name = raw[at : at + (3 if major == 2 else 4)]
+            n = int.from_bytes(raw[at + 3 : at + 6], "big") if major == 2 else _syncsafe(raw[at + 4 : at + 8]) if major == 4 else int.from_bytes(raw[at + 4 : at + 8], "big")
+            body = raw[at + wide : at + wide + n]
             if name in (b"TIT2", b"TT2"):
                 title = title or _text(body)
             elif name in (b"TPE1", b"TP1"):
@@ -118,27 +161,42 @@ def tags(data: bytes) -> tuple[int, int, str | None, str | None]:
     return begin, end, title, artist
 
 
-def _table(frame: bytes, info: tuple) -> tuple[str, int | None, int | None] | None:
-    """(kind, frames, bytes) of the table that a first frame may hold in place of sound."""
+def _table(frame: bytes, info: tuple) -> tuple[str, int | None, int | None, int, int, list[int]] | None:
+    """(kind, frames, bytes, encoder delay, padding, seek table) of the table that a first frame may hold in place of sound.
+
+    The seek table has bytes from the table's frame on, at equal steps of time.
+    """
     for skip in (0, 2) if info[5] else (0,):
         at = 4 + skip + side_bytes(info[1], info[6])
         if frame[at : at + 4] in (b"Xing", b"Info"):
             flags, p = int.from_bytes(frame[at + 4 : at + 8], "big"), at + 8
             n = size = None
+            seek: list[int] = []
+            delay = padding = 0
             if flags & 1:
                 n, p = int.from_bytes(frame[p : p + 4], "big"), p + 4
             if flags & 2:
-                size = int.from_bytes(frame[p : p + 4], "big")
-            return frame[at : at + 4].decode(), n, size
+                size, p = int.from_bytes(frame[p : p + 4], "big"), p + 4
+            if flags & 4:
+                seek, p = [x * (size or 0) // 256 for x in frame[p : p + 100]], p + 100
+            if flags & 8:
+                p += 4
+            if frame[p : p + 4] in (b"LAME", b"Lavc", b"Lavf", b"GOGO") and p + 24 <= len(frame):
+                both = int.from_bytes(frame[p + 21 : p + 24], "big")
+                delay, padding = both >> 12, both & 0xFFF
+            return frame[at : at + 4].decode(), n, size, delay, padding, seek
     if frame[36:40] == b"VBRI":
-        return "VBRI", int.from_bytes(frame[50:54], "big"), int.from_bytes(frame[46:50], "big")
+        entries, scale, wide = (int.from_bytes(frame[k : k + 2], "big") for k in (54, 56, 58))
+        steps = [int.from_bytes(frame[k : k + wide], "big") * scale for k in range(62, min(len(frame) - wide + 1, 62 + entries * wide), wide)] if 0 < wide <= 4 else []
+        seek = [sum(steps[:k]) for k in range(len(steps))] if len(steps) < 1000 else np.cumsum([0, *steps[:-1]]).tolist()
+        return "VBRI", int.from_bytes(frame[50:54], "big"), int.from_bytes(frame[46:50], "big"), int.from_bytes(frame[42:44], "big"), 0, seek
     return None
 
 
 def parse(data: bytes | None) -> tuple:
     """The values of SCHEMA for one stream, without verified checksums; then (offset, rows to verify)."""
     if not data:
-        return (False, None, None, None, None, 0, 0.0, 0, None, None, None, None, 0, 0, 0, 0, None, None, []), []
+        return (False, None, None, None, None, 0, 0.0, 0, None, None, None, None, 0, 0, 0, 0, None, None, None, None, [], []), []
     begin, end, title, artist = tags(data)
     at, resyncs, skipped, stream, vbr = begin, 0, 0, None, None
     offsets, protected, bits, lost = [], [], 0, False
@@ -171,18 +229,19 @@ def parse(data: bytes | None) -> tuple:
                 continue
         offsets.append(at)
         bits += info[7]
-        if info[5] and info[2] == 1:
+        if info[5]:
             protected.append(at)
         at += info[0]
     if at < end:
         skipped += end - at
     if stream is None:
-        return (False, None, None, None, None, 0, 0.0, 0, None, None, None, None, 0, 0, 0, skipped, title, artist, []), []
+        return (False, None, None, None, None, 0, 0.0, 0, None, None, None, None, 0, 0, 0, skipped, title, artist, None, None, [], []), []
     n, samples, hz = len(offsets), len(offsets) * stream[4], stream[3]
-    kind, total, size = vbr or (None, None, None)
+    kind, total, size, delay, padding, seek = vbr or (None, None, None, 0, 0, [])
+    heard = max(0, samples - delay - padding)
     row = (
-        True, 4 - stream[2], {3: 1.0, 2: 2.0, 0: 2.5}[stream[1]], stream[6], hz, samples, samples / hz, n, bits / n if n else None,
-        kind, total, size, len(protected), 0, resyncs, skipped, title, artist, offsets,
+        True, 4 - stream[2], {3: 1.0, 2: 2.0, 0: 2.5}[stream[1]], stream[6], hz, samples, heard / hz, n, bits / n if n else None,
+        kind, total, size, len(protected), 0, resyncs, skipped, title, artist, delay, padding, seek, offsets,
     )
     return row, protected
 
@@ -195,6 +254,11 @@ def media_rows(streams: list[bytes | None]) -> list[tuple]:
         rows.append(list(row))
         for at in protected:
             info = header(int.from_bytes(data[at : at + 4], "big"))
+            if info[2] != 1:
+                frame = data[at : at + info[0]]
+                count = checked_bits(frame, info)
+                rows[-1][13] += count is None or crc_of(frame, count) != int.from_bytes(frame[4:6], "big")
+                continue
             size = side_bytes(info[1], info[6])
             taken.setdefault(size, []).append(data[at + 2 : at + 4] + data[at + 6 : at + 6 + size] + data[at + 4 : at + 6])
             where.append((k, size, len(taken[size]) - 1))
@@ -208,7 +272,7 @@ def media_rows(streams: list[bytes | None]) -> list[tuple]:
 
 
 _NAMES = [x.split()[0] for x in SCHEMA.split(",")]
-_TYPES = [pa.bool_(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int64())]
+_TYPES = [pa.bool_(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.int32(), pa.float64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
 
 def media_columns(batches: Iterator[pa.RecordBatch], key: str, column: str) -> Iterator[pa.RecordBatch]:
@@ -268,7 +332,8 @@ def stream_of(doc: int, text: str | None, source: str | None) -> bytes | None:
         k += 1
     if doc % 3 == 0 and k:
         plain = head[0] | 1 << 16
-        table = plain.to_bytes(4, "big") + bytes(side) + b"Xing" + (3).to_bytes(4, "big") + k.to_bytes(4, "big") + sum(map(len, frames)).to_bytes(4, "big")
+        table = plain.to_bytes(4, "big") + bytes(side) + b"Xing" + (15).to_bytes(4, "big") + k.to_bytes(4, "big") + sum(map(len, frames)).to_bytes(4, "big")
+        table += bytes(i * 256 // 100 for i in range(100)) + (50).to_bytes(4, "big") + b"LAME3.100".ljust(21, b"\0") + (576 << 12 | min(4095, len(frames[-1]))).to_bytes(3, "big")
         frames.insert(0, table.ljust(header(plain)[0], b"\0"))
     out += frames
     if doc % 6 == 1:
