@@ -47,7 +47,9 @@ def test_quality_stage(spark, sf, stages):
     assert sorted(str(r.doc_id) for r in judged if r.keep) == sorted(str(r.doc_id) for r in after.collect())
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic = 0").collect()}
     kept = {r.doc_id for r in after.collect()}
-    assert all(i in kept for i, q in labels.items() if q == 1)
+    good = [i in kept for i, q in labels.items() if q == 1]  # each judged by a model that didn't count it
+    assert sum(good) >= 0.95 * len(good)
+    assert not any(i in kept for i, q in labels.items() if q == 0)
 
 
 def test_line_stage(stages):

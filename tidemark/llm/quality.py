@@ -11,13 +11,13 @@ the model's size. The score is perplexity per byte.
 Trusted text is divided into halves by its hash, and each half has a model. A document is scored by the model of the half
 that its text would not be in, so no document is judged by a model that counted it, or a copy of it (but in a language
 whose trusted text is all in one half). It is rejected when
-its log-perplexity is beyond its language's outer fence, ``Q75 + FENCE * (Q75 - Q25)`` of the log-perplexities of the
+its log-perplexity is beyond its language's fence, ``Q75 + FENCE * (Q75 - Q25)`` of the log-perplexities of the
 language's trusted documents; so the fence doesn't move with the share of junk. The score of a short text is drawn towards
 the median of those documents with the weight of ``PRIOR`` bytes, as a few bytes say little.
 
 The labelled toxic text of a language has a model by the same code. As a few words hardly move the mean of a document,
 its toxicity is the log of the likelihood ratio of the toxic to the trusted model over the worst ``SPAN`` bytes. It is
-rejected beyond the outer fence of the toxicity of the trusted documents.
+rejected beyond a fence of the toxicity of the trusted documents, with ``TOXIC_FENCE`` in place of ``FENCE``.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import CACHES, lean, new_path, pieces, small_batches, text_bytes, written
 
-ORDER, FENCE, PRIOR, SHARD_ROWS, BROADCAST_IDS = 5, 3.0, 100, 1_500_000, 1_000_000
+ORDER, FENCE, TOXIC_FENCE, PRIOR, SHARD_ROWS, BROADCAST_IDS = 5, 5.0, 8.0, 100, 1_500_000, 1_000_000
 SPAN = 12
 BEGIN = 2
 CACHED_SHARDS, WALK_BYTES = 4, 32_000_000
@@ -428,7 +428,7 @@ def scored(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "t
     return rows.mapInArrow(lean(run, keep="model"), schema)
 
 
-def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fence: float = FENCE, carry: list[str] | None = None) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", fence: float = FENCE, carry: list[str] | None = None, toxic_fence: float = TOXIC_FENCE) -> DataFrame:
     """(r, perplexity, score, threshold, toxicity, toxic_threshold, keep) for every row of ``docs``, r the row or its columns ``carry``.
 
     Kept without a score: a null or empty text, and a language without trusted text (a null language is one of its
@@ -443,11 +443,11 @@ def judged(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     middle = written(sample.groupBy("l").agg(F.percentile_approx("h", F.lit(0.5), F.lit(10_000)).alias("mid")), "medians")
     drawn = (-F.col("ll") + PRIOR * F.col("mid")) / (F.col("nb") + PRIOR)
 
-    def limit(column: str) -> Column:
+    def limit(column: str, width: float) -> Column:
         q = F.percentile_approx(column, F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
-        return q[1] + fence * (q[1] - q[0])
+        return q[1] + width * (q[1] - q[0])
 
-    limits = sample.join(F.broadcast(middle), "l").withColumn("s", drawn).groupBy("l", "mid").agg(limit("s").alias("most"), limit("tox").alias("worst"))
+    limits = sample.join(F.broadcast(middle), "l").withColumn("s", drawn).groupBy("l", "mid").agg(limit("s", fence).alias("most"), limit("tox", toxic_fence).alias("worst"))
     limits = written(limits, "limits")  # a row for each language, and so broadcast
     table = table.join(F.broadcast(limits), "l", "left").withColumn("s", drawn)
     keep = F.coalesce(F.col("s") <= F.col("most"), F.lit(True)) & F.coalesce(F.col("tox") <= F.col("worst"), F.lit(True))
