@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.common import CACHES, lean, new_path, pieces, small_batches, text_bytes, written
 
-ORDER, FENCE, TOXIC_FENCE, PRIOR, SHARD_ROWS, BROADCAST_IDS = 5, 5.0, 8.0, 100, 1_500_000, 1_000_000
+ORDER, FENCE, TOXIC_FENCE, PRIOR, SHARD_ROWS, BROADCAST_IDS = 5, 5.0, 5.0, 100, 1_500_000, 1_000_000
 SPAN = 12
 BEGIN = 2
 CACHED_SHARDS, WALK_BYTES = 4, 32_000_000
