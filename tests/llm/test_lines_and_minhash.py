@@ -184,3 +184,12 @@ def test_work_dir_is_qualified(spark):
     import pyarrow.fs as pafs
 
     assert work_dir(spark).startswith("file:///") and pafs.FileSystem.from_uri(work_dir(spark))[1].startswith("/")
+
+
+def test_near_copies_in_a_script_without_spaces(spark):
+    rng = random.Random(6)
+    base = [chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(300)]
+    near = [c if k % 60 else "好" for k, c in enumerate(base)]
+    other = [chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(300)]
+    docs = spark.createDataFrame([(k, "".join(t)) for k, t in enumerate((base, near, other))], "doc_id long, text string")
+    assert groups_of(minhash.near_duplicates(docs).collect()) == {0: 0, 1: 0}

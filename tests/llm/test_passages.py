@@ -125,3 +125,16 @@ def test_every_window_is_named_alike():
             k = int(np.flatnonzero(pos == len(w))[0])
             seen.add((int(h[k]), int(at[k] - pos[k])))
         assert len(seen) == 1
+
+
+def test_scripts_without_spaces(spark):
+    rng = random.Random(6)
+    han = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(n))
+    shared = han(60)
+    rows = [(1, han(30) + shared + han(10)), (2, "abc " + han(5) + " " + shared), (3, "ไทย" + han(80)), (4, "\U00020001" * 3 + han(70))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for f in OPERATORS:
+        assert {(r.doc_id, r.start_word, r.end_word) for r in f(docs).collect()} == {(1, 30, 90), (2, 6, 66)}
+    data = np.frombuffer("a中b ทค\U00020001x é中".encode(), np.uint8)
+    start, end, _ = words(data, np.array([0, len(data)]), lone=True)
+    assert [data[a:b].tobytes().decode() for a, b in zip(start, end)] == ["a", "中", "b", "ท", "ค", "\U00020001", "x", "é", "中"]
