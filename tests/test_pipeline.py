@@ -185,3 +185,17 @@ def test_streams(spark, tmp_path):
     out = {r.instruction for r in got.collect()}
     assert len(out) == got.count() <= 3
     assert got.where(F.col("quality_score") < 0.8).count() == 0
+
+
+def test_checkpoints_on_a_named_file_system(spark, tmp_path, monkeypatch):
+    from tidemark.frame import Samples
+    from tidemark.plans.pipeline import Checkpointer
+
+    monkeypatch.chdir(tmp_path)
+    c = Checkpointer(f"file://{tmp_path}/deep/checks")
+    assert c.list_checkpoints() == [] and not c.exists("one")
+    c.save("one", Samples.from_list(spark, [{"instruction": "é"}]))
+    assert c.exists("one") and c.list_checkpoints() == ["one"] and c.facts("one")["sample_count"] == 1
+    assert c.load(spark, "one").to_list()[0]["instruction"] == "é" and not (tmp_path / "file:").exists()
+    c.clear()
+    assert c.list_checkpoints() == [] and not (tmp_path / "deep/checks/one.parquet").exists()

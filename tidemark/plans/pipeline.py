@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 from dataclasses import dataclass, field
 
@@ -13,7 +12,7 @@ from tidemark.plans.config import PipelineConfig, load_config
 from tidemark.plans.stages import Stage, get_stage_class
 from tidemark.plans.storage import ship
 from tidemark.registry import registry
-from tidemark.sources.local import load_json, save_json
+from tidemark.sources.local import exists, load_json, names, remove, save_json
 
 
 class Checkpointer:
@@ -45,19 +44,15 @@ class Checkpointer:
         return Samples(spark.read.parquet(f"{self.folder}/{stage}.parquet"), (*facts["provenance"], f"loaded from checkpoint {stage}"))
 
     def exists(self, stage: str) -> bool:
-        return os.path.exists(self._facts(stage))
+        return exists(self._facts(stage))
 
     def list_checkpoints(self) -> list[str]:
-        if not os.path.isdir(self.folder):
-            return []
-        return sorted(x[: -len(".meta.json")] for x in os.listdir(self.folder) if x.endswith(".meta.json"))
+        return [x[: -len(".meta.json")] for x in names(self.folder) if x.endswith(".meta.json")]
 
     def clear(self) -> None:
-        import shutil
-
         for stage in self.list_checkpoints():
-            os.remove(self._facts(stage))
-            shutil.rmtree(f"{self.folder}/{stage}.parquet", ignore_errors=True)
+            remove(self._facts(stage))
+            remove(f"{self.folder}/{stage}.parquet")
 
 
 @dataclass
