@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -74,21 +77,24 @@ def to_samples(df: DataFrame) -> DataFrame:
 def number(df: DataFrame) -> DataFrame:
     """``df`` with its rows numbered from 0 in scan order; for plain scans, whose partitions are the same each time.
 
-    Partition counts (a number for each partition) turn Spark's increasing ids into dense ones without a shuffle.
+    Of files the order is that of their names, a run of digits counting as a number, and then of their lines: Spark gives
+    files to tasks by size. Counts (a number for each partition and piece of a file) turn Spark's increasing ids into
+    dense ones without a shuffle.
     """
-    key = F.monotonically_increasing_id()
-    counts = {r.p: r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).toLocalIterator()}
-    offsets, at = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        offsets.append(at)
-        at += counts.get(p, 0)
-    local = df.withColumn("_ord", key)
-    if len(offsets) < 2:
-        return local
-    table = df.sparkSession.createDataFrame(list(enumerate(offsets)), "_part long, _from long")
-    part = F.shiftright("_ord", 33)
-    moved = local.withColumn("_part", part).join(F.broadcast(table), "_part")  # a row for each partition
-    return moved.withColumn("_ord", F.col("_ord") - F.shiftleft("_part", 33) + F.col("_from")).select(*df.columns, "_ord")
+    rows = df.withColumns({"_ord": F.monotonically_increasing_id(), "_part": F.spark_partition_id()})
+    try:
+        rows = rows.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")})
+    except AnalysisException:  # no files
+        rows = rows.withColumns({"_file": F.lit(""), "_start": F.col("_part").cast("long")})
+    key = ["_part", "_file", "_start"]
+    pieces = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min("_ord").alias("first")).collect()  # as many as pieces of files
+    table, at = [], 0
+    for r in sorted(pieces, key=lambda r: ([int(x) if k % 2 else x for k, x in enumerate(re.split(r"([0-9]+)", r._file))], r._start)):
+        table.append((r._part, r._file, r._start, at - r.first))
+        at += r.n
+    moves = df.sparkSession.createDataFrame(table, "_part int, _file string, _start long, _by long")
+    moved = rows.join(F.broadcast(moves), key)
+    return moved.withColumn("_ord", F.col("_ord") + F.col("_by")).select(*df.columns, "_ord")
 
 
 def reorder(df: DataFrame, *order: Column) -> DataFrame:

@@ -31,12 +31,14 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return to_samples(spark.read.parquet(path))
+    rows = spark.read.parquet(path)
+    return to_samples(rows if "_ord" in rows.columns else number(rows))
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """With a header; all columns are text, quotes may hold line ends."""
-    return to_samples(spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False))
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"', inferSchema=False)
+    return to_samples(rows if "_ord" in rows.columns else number(rows))
 
 
 READERS = {".jsonl": read_jsonl, ".json": read_jsonl, ".parquet": read_parquet, ".csv": read_csv}
