@@ -15,7 +15,7 @@ from tidemark.backends.embeddings import find_similar
 from tidemark.frame import Samples, category_share, describe, length_histogram
 from tidemark.functions import scores
 from tidemark.functions.text import SPACES
-from tidemark.operators.dedup import ExactDedup, TfidfDedup, _sparse, block_pairs, greedy_drop, tfidf_vectors
+from tidemark.operators.dedup import ExactDedup, TfidfDedup, block_pairs, greedy_drop, tfidf_vectors
 from tidemark.operators.diversity import category_diversity, diversity_score, kmeans, maxmin
 from tidemark.operators.enrich import LLMSynthesis, ReasoningChainEnhancer
 from tidemark.operators.filters import KnowledgeFilter, LengthFilter, NoiseDetector, PrefixAdder, QualityFilter, knowledge_scores, quality_metrics
@@ -482,7 +482,7 @@ TFIDF = (
 @query(f"WITH {TFIDF} SELECT i, j, round(sim, 6) AS sim FROM g")
 def tfidf_pairs(spark, d):
     s = pairs(spark, d)
-    return block_pairs(tfidf_vectors(s, F.col("output")), 0.99, _sparse).withColumn("sim", r6("sim"))
+    return block_pairs(tfidf_vectors(s, F.col("output")), 0.99).withColumn("sim", r6("sim"))
 
 
 @query(f"WITH RECURSIVE {TFIDF}{GREEDY.replace(', n AS', ', nb AS').replace('JOIN n ON {id} = n.i', 'JOIN nb ON {id} = nb.i').format(id='s.ord', rows='s')} SELECT s.id FROM s, f WHERE NOT list_contains(f.gone, s.ord)")
