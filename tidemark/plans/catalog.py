@@ -15,7 +15,7 @@ from tidemark.backends.embeddings import find_similar
 from tidemark.frame import Samples, category_share, describe, length_histogram
 from tidemark.functions import scores
 from tidemark.functions.text import SPACES
-from tidemark.operators.dedup import ExactDedup, TfidfDedup, block_pairs, greedy_drop, tfidf_vectors
+from tidemark.operators.dedup import ExactDedup, TfidfDedup, block_pairs, greedy_near, tfidf_vectors
 from tidemark.operators.diversity import category_diversity, diversity_score, kmeans, maxmin
 from tidemark.operators.enrich import LLMSynthesis, ReasoningChainEnhancer
 from tidemark.operators.filters import KnowledgeFilter, LengthFilter, NoiseDetector, PrefixAdder, QualityFilter, knowledge_scores, quality_metrics
@@ -466,7 +466,7 @@ def similar_pairs(spark, d):
 @query(f"WITH RECURSIVE {SIMILAR}{GREEDY.format(id='e.vec_id', rows='e')} SELECT e.vec_id FROM e, f WHERE NOT list_contains(f.gone, e.vec_id)")
 def semantic_dedup_greedy(spark, d):
     v = vectors(spark, d)
-    return v.join(greedy_drop(block_pairs(v, 0.3)), "_ord", "left_anti").select(F.col("_ord").alias("vec_id"))
+    return v.join(greedy_near(v, 0.3), "_ord", "left_anti").select(F.col("_ord").alias("vec_id"))
 
 
 _TOK = "[\\x{4e00}-\\x{9fff}]|[\\p{L}\\p{N}]"
