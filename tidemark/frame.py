@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tidemark.schema import SAMPLE, to_samples
 
+#: Positions from an end that are found by sorting.
+NEAR = 100
+
 
 class Samples:
     """A DataFrame under the sample schema, in the order of ``_ord``, and the steps that made it. Nothing runs until asked."""
@@ -109,22 +112,50 @@ class Samples:
             yield r.asDict(recursive=True)
 
     def __getitem__(self, at: int | slice) -> dict | Samples:
-        """A row, or the rows of a slice, by dense position."""
-        at_ = at
+        """A row, or the rows of a slice, by dense position. Only a few rows near either end are sorted by every task for
+        the driver; elsewhere the place is found by counting."""
         if isinstance(at, slice):
             if at.step not in (None, 1):
                 raise ValueError("slices have a step of 1")
+            lo, hi, _ = at.indices(len(self))
+            what = f"slice {lo}:{hi}"
+            if hi <= lo or hi <= NEAR:
+                ranked = self.df.orderBy("_ord").limit(hi)
+                return self.step(ranked.orderBy(F.desc("_ord")).limit(max(0, hi - lo)), what)
+            (first, before), (last, _) = self._places(lo, hi - 1)
+            return self.step(self.df.where(F.col("_ord").between(first, last)).orderBy("_ord", "id").offset(lo - before).limit(hi - lo), what)
+        if 0 <= at < NEAR:
+            rows = self.df.orderBy("_ord").offset(at).limit(1).collect()
+        elif -NEAR <= at < 0:
+            rows = self.df.orderBy(F.desc("_ord")).offset(-at - 1).limit(1).collect()
+        else:
             n = len(self)
-            lo, hi, _ = at.indices(n)
-            ranked = self.df.orderBy("_ord").limit(hi)
-            return self.step(ranked.orderBy(F.desc("_ord")).limit(max(0, hi - lo)), f"slice {lo}:{hi}")
-        if at < 0:
-            at_ = len(self) + at
-        rows = self.df.orderBy("_ord").offset(at_).limit(1).collect() if at_ >= 0 else []
+            if not -n <= at < n:
+                raise IndexError(at)
+            ((found, before),) = self._places(at % n)
+            rows = self.df.where(F.col("_ord") == found).orderBy("id").offset(at % n - before).limit(1).collect()
         if not rows:
             raise IndexError(at)
         return rows[0].asDict(recursive=True)
 
+    def _places(self, *positions: int) -> list[tuple[int, int]]:
+        """(``_ord``, number of rows with a lesser one) at each dense position, from counts in ever narrower ranges."""
+        from tidemark.plans.storage import stored
+
+        ords, found = stored(self.df.select("_ord"), "places"), []
+        for at in positions:
+            (lo, hi), before = ords.agg(F.min("_ord"), F.max("_ord")).first(), 0
+            while lo < hi:
+                part = F.expr(f"(_ord - ({lo}L)) div {(hi - lo) // 1000 + 1}L")
+                counts = ords.where(F.col("_ord").between(lo, hi)).groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("_ord").alias("lo"), F.max("_ord").alias("hi")).collect()
+                for r in sorted(counts, key=lambda r: r.lo):
+                    lo, hi = r.lo, r.hi
+                    if before + r.n > at:
+                        break
+                    before += r.n
+            found.append((lo, before))
+        return found
+
     def to_list(self, most: int = 1_000_000) -> list[dict]:
         """Rows as dicts, in order; refuses more than ``most``."""
         rows = self.df.orderBy("_ord").limit(most + 1).collect()
